@@ -1,0 +1,96 @@
+import zlib
+
+import numpy as np
+import pytest
+from conftest import ODD
+
+from surprisal.llm import html_extract, langid, quality
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    got = {r.doc_id: r for r in quality.report(docs, labels).collect()}
+    assert len(got) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    held = [(truth[i], r.predicted) for i, r in got.items() if r.held_out and i in truth]
+    for c in (0, 1):
+        mine = [p == t for t, p in held if t == c]
+        assert np.mean(mine) > 0.97, (c, np.mean(mine))
+
+
+def test_quality_odd(spark, docs):
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (2, 0, 0), (4, None, 1)], "doc_id bigint, quality int, toxic int")
+    assert len(quality.report(docs(ODD), labels).collect()) == len(ODD)
+    none = {r.score for r in quality.report(docs(ODD), labels.where("false")).collect()}
+    assert none == {0.5}
+    single = quality.report(docs(ODD), spark.createDataFrame([(i, 0, 0) for i in range(9)], labels.schema)).collect()
+    assert {r.predicted for r in single} == {0}
+    assert quality.report(docs([]), labels).collect() == []
+    kept = quality.keep_good(docs(ODD), labels.where("false"))
+    assert kept.columns == docs(ODD).columns[:10] + kept.columns[10:] and kept.count() == len(ODD)
+
+
+def test_grams_by_brute_force():
+    for text in ["", "a", "ab", "abcabc", "é😀é"]:
+        raw = text.encode()
+        want = {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+        assert len(quality.grams(text)) == len(want) == len(set(quality.grams(text).tolist()))
+
+
+def test_languages_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    got = {r.doc_id: r for r in langid.report(docs).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    held = [r.lang_pred == truth[i] for i, r in got.items() if r.held_out]
+    assert np.mean(held) > 0.98, np.mean(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_languages_odd(spark, docs):
+    got = {r.doc_id: r.lang_pred for r in langid.report(docs(ODD)).collect()}
+    assert [got[i] for i in range(4)] == ["und"] * 4 and got[6] == "en"
+    assert {r.lang_pred for r in langid.predict(docs(ODD), langid.Profiles({})).collect()} == {"und"}
+    assert langid.report(docs([])).collect() == []
+
+
+@pytest.mark.parametrize("text", ["the cat", "Ab, c!", "x", "déjà-vu 12 ok"])
+def test_gram_keys_by_brute_force(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    padded = [f"_{w}_" for w in words]
+    want = [p[i : i + n] for p in padded for n in range(1, 6) for i in range(len(p) - n + 1) if p[i : i + n] != "_"]
+    keys = langid.gram_keys(text)
+    assert len(keys) == len(want) and len(set(keys.tolist())) == len(set(want))
+
+
+def test_pages_follow_their_articles(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+    want = {r.page_id: "\n\n".join(x.text for x in html_extract.leaves(r.html) if "article" in x.path) for r in rows}
+    got = {r.page_id: r.text for r in html_extract.report(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    assert got == want
+
+
+def test_invented_pages():
+    from surprisal.llm.train_html import examples
+
+    made = examples(77, 200)
+    scores = html_extract.labeller().scores([f for f, _ in made])
+    wrong = sum(int(((s > 0) != (y > 0)).sum()) for s, (_, y) in zip(scores, made, strict=True))
+    assert wrong <= 0.002 * sum(len(y) for _, y in made)
+
+
+def test_odd_pages(spark):
+    pages = [None, "", "plain", "<p>a<p>b &amp; c<br>d", "<script>x<p>", "<a <b <<>", "<article><p>" + "long text here. " * 5000 + "</article>", "<!-- x", "<article><p>one<li>two</article><footer>end</footer>"]
+    frame = spark.createDataFrame([(i, "u", h, 5) for i, h in enumerate(pages)], "page_id bigint, url string, html string, text int")
+    got = {r.page_id: r for r in html_extract.report(frame).collect()}
+    assert got[0].text == got[1].text == "" and all(r.n_chars == len(r.text) for r in got.values())
+    assert got[6].n_chars == len("long text here. " * 5000) - 1
+    assert html_extract.report(frame.where("false")).collect() == []
+
+
+def test_leaves():
+    page = '<html><head><title>t</title></head><body><nav><a href="x">m</a></nav><p class="big one">a &lt;b&gt;\n\n c<br>d<b>e</b><p>f<script>no</script>g</body>'
+    assert [(x.text, x.path) for x in html_extract.leaves(page)] == [("m", ("html", "body", "nav")), ("a <b> c de", ("html", "body", "p", "p.big", "p.one")), ("f g", ("html", "body", "p"))]

@@ -1,0 +1,66 @@
+import hashlib
+import re
+
+from conftest import ODD
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from surprisal.llm import pii
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PIECES = ["a", "@", "b.c", ".", "1", "12", "1.2.3.4", "+1 (23", "4111111111111111", " ", "-", "%", "é", "😀", "\n", "+12345678901", "x@y.z", "_", "0000.1.1.1", "999.1.1.1"]
+
+
+def luhn(digits):
+    return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(digits)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+
+
+def valid(kind, x):
+    digits = re.sub("[^0-9]", "", x)
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in x.split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def brute(text):
+    found = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, k in enumerate(PLAIN) for m in re.finditer(PLAIN[k], text or "") if valid(k, m[0])]
+    return [x[2] for x in sorted(found)]
+
+
+def check(frame, texts):
+    for row in pii.report(frame).collect():
+        want = brute(texts[row.doc_id])
+        assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[row.doc_id][:200]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(w.startswith(k) for w in want) for k in PLAIN]
+        assert [s for s in row.spans.split(",") if s.split(":")[0] in PLAIN] == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=40, max_size=60))
+def test_base_spans(spark, docs, texts):
+    check(docs(texts), texts)
+
+
+def test_odd_and_long(spark, docs):
+    texts = [*ODD, "1.2.3.4 " * 3000, "a" * 100000, "a@" + "b." * 20000 + "c", "+1" + "(" * 50000, "1 " * 40000, "a.b@c.d_x@y.org"]
+    check(docs(texts), texts)
+    assert pii.report(docs([])).collect() == []
+
+
+def test_added_kinds(spark, docs):
+    texts = ['x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "IBAN GB82 WEST 1234 5698 7654 32 ok", "IBAN GB83 WEST 1234 5698 7654 32 ok", "token = short", "a tokenised sentence", "password: hunter2hunter2hunter2"]
+    got = {r.doc_id: r.spans for r in pii.report(docs(texts)).collect()}
+    assert got == {0: "secret:11:51", 1: "iban:5:32", 2: "", 3: "", 4: "", 5: "secret:10:31"}
+
+
+def test_redact(spark, docs):
+    texts = ["mail me a@b.co or +1 (222) 333-4444 now 4111 1111 1111 1111.", None, "é 1.2.3.4", "nothing"]
+    out = {r.doc_id: (r.text, r.n_chars, r.pii) for r in pii.redact(docs(texts)).collect()}
+    assert out[0][0] == "mail me [EMAIL] or [PHONE] now [CARD]."
+    assert out[0][1] == len(out[0][0])
+    assert out[1][0] is None
+    assert out[2][0] == "é [IP]"
+    assert out[3] == ("nothing", 7, "clash")
+
+
+def test_native_plan(spark, docs):
+    plan = pii.report(docs(["a"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
