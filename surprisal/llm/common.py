@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch may hold: whole texts may be long, so batches are bounded by both.
-ARROW_ROWS, ARROW_BYTES = 2000, "8m"
+ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 
 
 def session(df: DataFrame) -> SparkSession:

@@ -16,8 +16,8 @@ import numpy as np
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 #: Code points handled at once; texts are never cut, so one long text may exceed it.
-CHUNK_CHARS = 4_000_000
-CACHE_WORDS = 1_000_000
+CHUNK_CHARS = 1_000_000
+CACHE_WORDS = 600_000
 #: White space as Unicode defines it (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -89,15 +89,23 @@ class FlatEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
+        # Known words: sorted keys and their numbers; by number, where the ids lie in the pool.
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def learn(self, keys: list[int], words: list[str]) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of words by their keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1).astype(np.int64)
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
         """Put the ids of new words into the pool; their numbers."""
         ids = self.resolve(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, start = int(sizes.sum()), len(self.known)
+        total, start = int(sizes.sum()), len(self.keys)
         while len(self.pool) < self.used + total:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while len(self.offset) < start + len(ids):
@@ -106,9 +114,11 @@ class FlatEncoder:
         self.offset[start : start + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.length[start : start + len(ids)] = sizes
         self.used += total
-        numbers = range(start, start + len(ids))
-        self.known.update(zip(keys, numbers, strict=True))
-        return np.arange(start, start + len(ids))
+        numbers = np.arange(start, start + len(ids))
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.numbers = merged[order], np.concatenate([self.numbers, numbers.astype(np.int32)])[order]
+        return numbers
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """The ids of each text (uint32); the cache is emptied when full, which never changes results."""
@@ -150,16 +160,15 @@ class FlatEncoder:
         ends = np.append(starts[1:], n)
         keys = (total[ends] - total[starts]) * down[starts]
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.keys) > CACHE_WORDS:
             self.reset()
-        asked = distinct.tolist()
-        number = np.fromiter(map(self.known.get, asked, (-1 for _ in asked)), np.int64, len(asked))
+        number = self.find(distinct)
         new = np.flatnonzero(number < 0)
         if len(new):
             words = [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            number[new] = self.learn([asked[i] for i in new.tolist()], words)
+            number[new] = self.learn(distinct[new], words)
         number = number[inverse]
-        length = self.length[number]
+        length = self.length[number].astype(np.int64)
         done = np.cumsum(length)
         ids = self.pool[np.repeat(self.offset[number] - done + length, length) + np.arange(done[-1])]
         upto = np.append(0, done)[np.searchsorted(starts, np.append(begin, n))]
