@@ -1,10 +1,12 @@
 """Quality classifier: naive Bayes support vectors over byte n-gram indicators.
 
-A text's features are the distinct byte 1-, 2- and 3-grams of its UTF-8 form. Each indicator is
-scaled by the log ratio of its smoothed class counts, the vector is brought to unit length, and a
-linear hinge-loss model is fit by dual coordinate descent; its weights are drawn towards their mean
-magnitude as the method proposes. Scores are the margins through a sigmoid that is fit on a fifth of
-the sample which the weights have not seen.
+A text's features are the distinct byte 1-, 2- and 3-grams of its UTF-8 form, and indicators of word
+n-grams that are one word repeated. Each indicator is scaled by the log ratio of its smoothed class
+counts. A constant joins them, the vector is brought to unit length, and a linear hinge-loss model is
+fit by dual coordinate descent. The constant is as large as the median text's other features
+together, so a text of few features leans towards what such texts are, not towards the noise of a few
+grams. Scores are the margins through a sigmoid that is fit on a fifth of the sample which the weights
+have not seen.
 
 The classifier is fit on a bounded sample of labelled rows: SAMPLE of each class, taken in a
 reproducible pseudo-random order of doc_id. Scoring covers every row and whole texts.
@@ -17,6 +19,7 @@ the higher quality; repeated documents each get their score.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ from pyspark.sql import functions as F
 from surprisal.llm.common import crc_mod, hash_order, map_batches, prepare
 
 SAMPLE = 2000
-SMOOTHING, COST, ROUNDS, SHRINK = 1.0, 1.0, 12, 0.25
+SMOOTHING, COST, ROUNDS = 1.0, 1.0, 12
+#: How many times in a row a word stands, of the word n-grams that count.
+REPEATS = range(2, 7)
 
 
 def grams(text: str | None) -> np.ndarray:
-    """The distinct byte 1-, 2- and 3-grams, numbered so that no two lengths share a number; sorted."""
+    """The distinct byte 1-, 2- and 3-grams and the word repeats, numbered so that no two kinds share a number; sorted."""
     raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.int32)
     seen = np.zeros(1 << 16, bool)
     out = [np.flatnonzero(np.bincount(raw, minlength=256)).astype(np.int32)] if len(raw) else []
@@ -41,27 +46,36 @@ def grams(text: str | None) -> np.ndarray:
     if len(raw) > 2:
         three = np.sort(two[:-1] << 8 | raw[2:])
         out.append(three[np.r_[True, three[1:] != three[:-1]]] + np.int32((1 << 16) + (1 << 8)))
+    words = (text or "").split()
+    same = np.fromiter(map(eq, words[1:], words), bool, max(len(words) - 1, 0))
+    for n in REPEATS:
+        if not same.any():
+            break
+        out.append(np.array([(1 << 25) + n], np.int32))
+        same = same[1:] & same[:-1] if len(same) > 1 else same[:0]
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 @dataclass
 class Model:
-    """keys: known grams, sorted; ratio: their log-count ratios; weight: of the scaled indicators; slope, shift: of the sigmoid."""
+    """keys: known grams, sorted; ratio: their log-count ratios; weight: of the scaled indicators; constant, bias: the constant feature and its weight; slope, shift: of the sigmoid."""
 
     keys: np.ndarray
     ratio: np.ndarray
     weight: np.ndarray
+    constant: float = 0.0
+    bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
     def margin(self, features: np.ndarray) -> float:
-        if not len(self.keys) or not len(features):
+        if not len(self.keys):
             return 0.0
         at = np.searchsorted(self.keys, features)
         at[at == len(self.keys)] = 0
         at = at[self.keys[at] == features]
         scaled = self.ratio[at]
-        return float(scaled @ self.weight[at]) / max(float(np.sqrt(scaled @ scaled)), 1e-12)
+        return (float(scaled @ self.weight[at]) + self.constant * self.bias) / max(float(np.sqrt(scaled @ scaled + self.constant**2)), 1e-12)
 
     def score(self, text: str | None) -> float:
         z = np.clip(self.slope * self.margin(grams(text)) + self.shift, -30, 30)
@@ -102,13 +116,16 @@ def train(features: list[np.ndarray], labels: np.ndarray) -> Model:
     owner = np.repeat(labels[fit], [len(f) for f, k in zip(features, fit, strict=True) if k])
     p, q = (SMOOTHING + np.bincount(code[owner == c], minlength=len(keys)) for c in (1, 0))
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    rows, used = [], np.flatnonzero(fit)
-    for i in used:
-        at = np.searchsorted(keys, features[i])
-        rows.append((at, ratio[at] / max(np.sqrt(ratio[at] @ ratio[at]), 1e-12)))
-    weight = dual_descent(rows, np.where(labels[used] == 1, 1.0, -1.0), len(keys))
-    weight = (1 - SHRINK) * np.abs(weight).mean() + SHRINK * weight
-    model = Model(keys, ratio, weight)
+    used = np.flatnonzero(fit)
+    places = [np.searchsorted(keys, features[i]) for i in used]
+    constant = float(np.sqrt(np.median([ratio[at] @ ratio[at] for at in places])))
+    rows = []
+    for at in places:
+        scaled = np.append(ratio[at], constant)
+        rows.append((np.append(at, len(keys)), scaled / max(np.sqrt(scaled @ scaled), 1e-12)))
+    weight = dual_descent(rows, np.where(labels[used] == 1, 1.0, -1.0), len(keys) + 1)
+    weight, bias = weight[:-1], float(weight[-1])
+    model = Model(keys, ratio, weight, constant, bias)
     held = np.flatnonzero(~fit) if not fit.all() else used
     model.slope, model.shift = sigmoid(np.array([model.margin(features[i]) for i in held]), labels[held])
     return model
