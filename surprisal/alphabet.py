@@ -83,9 +83,11 @@ class Alphabet:
     def column(self, text: Column) -> Column:
         """The normalised text, by built-in functions only."""
         composed, accented, plain = _tables(self)
-        out = F.lower(text)
+        low = F.lower(text)
+        fused = low
         for pattern, to in composed:
-            out = F.when(out.rlike(r"\p{M}"), F.regexp_replace(out, pattern, to)).otherwise(out)
+            fused = F.regexp_replace(fused, pattern, to)
+        out = F.when(low.rlike(r"\p{M}"), fused).otherwise(low) if composed else low
         if accented:
             out = F.translate(out, accented, plain)
         return F.regexp_replace(out, self.others, " " if " " in self.symbols else "")
@@ -114,7 +116,8 @@ class Alphabet:
 @lru_cache(32)
 def _tables(alphabet: Alphabet) -> tuple[list[tuple[str, str]], str, str]:
     """Patterns for letters followed by marks, and the translation of single characters."""
-    sequences: dict[str, list[str]] = {}
+    marks: dict[str, set[str]] = {}
+    whole: dict[str, set[str]] = {}
     accented, plain = [], []
     for c in map(chr, KNOWN):
         low = unicodedata.normalize("NFC", c).lower()
@@ -126,11 +129,16 @@ def _tables(alphabet: Alphabet) -> tuple[list[tuple[str, str]], str, str]:
             plain.append(to)
         parts = unicodedata.normalize("NFD", low)
         if len(parts) > 1 and parts[0] in LETTERS and unicodedata.normalize("NFC", parts) == low:
-            target = to if len(to) == 1 else " " if " " in alphabet else ""
-            sequences.setdefault(target, []).append(parts)
-    composed = [("(?:" + "|".join(sorted(found, key=lambda s: (-len(s), s))) + ")", to) for to, found in sequences.items()]
-    # Longer sequences first, lest a shorter one leave a mark behind.
-    return sorted(composed, key=lambda p: (-max(map(len, p[0].split("|"))), p[0])), "".join(accented), "".join(plain)
+            if to == parts[0]:
+                marks.setdefault(to, set()).add(parts[1:])
+            else:
+                whole.setdefault(to, set()).add(parts)
+    longest = lambda found: "(?:" + "|".join(sorted(found, key=lambda x: (-len(x), x))) + ")"
+    # Letters that lose their marks go in one pass; other targets have one each, those that vanish first.
+    composed = [(longest(whole[to]), to) for to in sorted(whole, key=lambda t: (t in alphabet.symbols and t != " ", t))]
+    if marks:
+        composed.append(("|".join(f"(?<={base}){longest(found)}" for base, found in sorted(marks.items())), ""))
+    return composed, "".join(accented), "".join(plain)
 
 
 ENGLISH = Alphabet("English-27", tuple(LETTERS + " "))
