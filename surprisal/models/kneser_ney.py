@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surprisal.models.base import Model, require_text
-from surprisal.operators.counts import positions
+from surprisal.operators.counts import gram_counts
 from surprisal.operators.segments import pieces
 
 UNKNOWN = "\x01"
@@ -45,7 +45,7 @@ def grams(segments: DataFrame, order: int, size: int = 1000, boundary: str = "se
         raise ValueError("the boundary is segment or concat")
     pad = UNKNOWN * (order - 1)
     padded = chunked.withColumn("text", F.concat(F.lit(pad), "text", F.lit(pad)))
-    return positions(padded, order - 1, by).groupBy(*by, F.concat("ctx", "sym").alias("gram")).agg(F.count("*").alias("cnt"))
+    return gram_counts(padded, order - 1, by)
 
 
 def levels(longest: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -55,26 +55,33 @@ def levels(longest: DataFrame, by: list[str] | None = None) -> DataFrame:
     return each.groupBy(*by, F.expr("right(gram, k)").alias("gram"), "k").agg(F.sum("cnt").alias("cnt"))
 
 
-def tables(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """words: gram, k, x (its count at the top level, else its distinct left neighbours); contexts: ctx, k, total, followers."""
-    left = counts.where("k >= 2").groupBy(F.expr("substring(gram, 2)").alias("gram"), (F.col("k") - 1).alias("k")).agg(F.count("*").alias("lefts"))
-    words = counts.join(left, ["gram", "k"], "left").select("gram", "k", F.when(F.col("k") == order, F.col("cnt")).otherwise(F.coalesce("lefts", F.lit(0))).alias("x"))
-    split = words.select(F.expr("substring(gram, 1, k - 1)").alias("ctx"), "k", "x")
-    return words, split.groupBy("ctx", "k").agg(F.sum("x").alias("total"), F.count("*").alias("followers"))
-
-
-def gram_costs(distinct: DataFrame, words: DataFrame, contexts: DataFrame, discount: float) -> DataFrame:
-    """gram, bits of distinct grams."""
-    each = distinct.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k"))
-    each = each.withColumn("level", F.expr("right(gram, k)")).withColumn("ctx", F.expr("substring(level, 1, k - 1)"))
-    known = each.join(contexts, ["ctx", "k"]).join(words.select(F.col("gram").alias("level"), "k", "x"), ["level", "k"], "left")
-    x, total = F.coalesce("x", F.lit(0)), F.col("total")
+def context_table(counts: DataFrame, order: int) -> DataFrame:
+    """ctx, k, total, followers, syms: for contexts of grams of length k, what each symbol counts there.
+
+    That is its count for full-length grams, and its number of distinct left neighbours for shorter ones.
+    Each gram is counted for itself and as a left extension of its suffix in one aggregation.
+    """
+    own = F.struct("gram", "k", F.col("cnt").alias("seen"), F.lit(0).cast("long").alias("lefts"))
+    suffix = F.struct(F.expr("substring(gram, 2)").alias("gram"), (F.col("k") - 1).alias("k"), F.lit(0).cast("long").alias("seen"), F.lit(1).cast("long").alias("lefts"))
+    both = counts.select(F.explode(F.when(F.col("k") > 1, F.array(own, suffix)).otherwise(F.array(own))).alias("e")).select("e.*")
+    words = both.groupBy("gram", "k").agg(F.sum("seen").alias("seen"), F.sum("lefts").alias("lefts")).where("seen > 0")
+    x = F.when(F.col("k") == order, F.col("seen")).otherwise(F.col("lefts"))
+    split = words.select(F.expr("substring(gram, 1, k - 1)").alias("ctx"), "k", F.expr("right(gram, 1)").alias("sym"), x.alias("x"))
+    return split.groupBy("ctx", "k").agg(F.sum("x").alias("total"), F.count("*").alias("followers"), F.map_from_entries(F.collect_list(F.struct("sym", "x"))).alias("syms"))
+
+
+def gram_costs(distinct: DataFrame, contexts: DataFrame, discount: float) -> DataFrame:
+    """gram, m (where there) and bits of distinct grams."""
+    kept = [c for c in ("m",) if c in distinct.columns]
+    each = distinct.select("gram", *kept, F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k"))
+    each = each.withColumn("ctx", F.expr("substring(gram, length(gram) - k + 1, k - 1)"))
+    known = each.join(contexts, ["ctx", "k"])
+    x, total = F.coalesce(F.col("syms")[F.expr("right(gram, 1)")], F.lit(0)), F.col("total")
     alpha = F.when(F.col("k") == 1, x / total).otherwise(F.greatest(x - discount, F.lit(0.0)) / total)
     gamma = F.when(F.col("k") == 1, F.lit(0.0)).otherwise(discount * F.col("followers") / total)
-    steps = known.select("gram", F.struct("k", alpha.alias("alpha"), gamma.alias("gamma")).alias("s"))
     # At most one step for each length up to the order.
-    folded = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda p, s: s["alpha"] + s["gamma"] * p)
-    return steps.groupBy("gram").agg(folded.alias("p")).select("gram", (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("k", alpha.alias("alpha"), gamma.alias("gamma")))), F.lit(0.0), lambda p, s: s["alpha"] + s["gamma"] * p)
+    return known.groupBy("gram").agg(*(F.first(c).alias(c) for c in kept), folded.alias("p")).select("gram", *kept, (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
 
 
 @dataclass
@@ -100,8 +107,7 @@ class KneserNey(Model):
     def fit(self, segments: DataFrame) -> KneserNey:
         require_text(segments)
         counts = levels(grams(segments, self.order, self.chunk_size, self.boundary))
-        words, contexts = tables(counts, self.order)
-        return KneserNey(self.alphabet, self.order, {"words": words, "contexts": contexts}, dict(self.values))
+        return KneserNey(self.alphabet, self.order, {"contexts": context_table(counts, self.order)}, dict(self.values))
 
     def costs(self, segments: DataFrame, by: list[str] | None = None) -> DataFrame:
         self.need()
@@ -109,11 +115,15 @@ class KneserNey(Model):
         if by and self.boundary == "concat":
             raise ValueError("scores by group need boundary segment")
         # The vocabulary has no more symbols than the alphabet.
-        known = "".join(r["gram"] for r in self.tables["words"].where("k = 1").select("gram").collect() if r["gram"] != UNKNOWN)
+        first = self.tables["contexts"].where("k = 1").first()
+        known = "".join(sorted(c for c in first["syms"] if c != UNKNOWN))
         unseen = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in known) + "]" if known else "(?s)."
         masked = segments.withColumn("text", F.regexp_replace("text", unseen, UNKNOWN))
         counted = levels(grams(masked, self.order, self.chunk_size, self.boundary, by), by)
         if self.mode == "top":
             counted = counted.where(F.col("k") == self.order)
-        scored = gram_costs(counted.select("gram").distinct(), self.tables["words"], self.tables["contexts"], self.discount)
-        return counted.join(scored, "gram").groupBy(*by).agg(F.sum("cnt").alias("events"), F.sum(F.col("cnt") * F.col("bits")).alias("bits"))
+        counted = counted.withColumnRenamed("cnt", "m")
+        scored = gram_costs(counted.select("gram").distinct() if by else counted, self.tables["contexts"], self.discount)
+        if by:
+            scored = counted.join(scored, "gram")
+        return scored.groupBy(*by).agg(F.sum("m").alias("events"), F.sum(F.col("m") * F.col("bits")).alias("bits"))

@@ -23,20 +23,21 @@ def escape_probability(n: Column, u: Column) -> Column:
     return F.coalesce(F.when(n > 0, u / (n + u)), F.lit(1.0))
 
 
-def pair_costs(pairs: DataFrame, symbols: DataFrame, contexts: DataFrame, size: int, update_exclusion: bool = False, cost: str = "bits") -> DataFrame:
-    """ctx, sym and their cost for distinct pairs."""
-    seen = contexts.select(F.col("ctx").alias("level"), "n", "u")
-    found = symbols.select(F.col("ctx").alias("level"), "sym", "cnt")
-    levels = with_levels(pairs.select("ctx", "sym")).join(seen, "level").join(found, ["level", "sym"], "left")
+def pair_costs(pairs: DataFrame, contexts: DataFrame, size: int, update_exclusion: bool = False) -> DataFrame:
+    """ctx, sym, m (where pairs, which are distinct, have it) and bits. One join: a context's row holds its symbols' counts."""
+    seen = contexts.select(F.col("ctx").alias("level"), "n", "u", "syms")
+    kept = [c for c in ("m",) if c in pairs.columns]
+    levels = with_levels(pairs.select("ctx", "sym", *kept)).join(seen, "level", "left").withColumn("cnt", F.col("syms")[F.col("sym")])
     n, u = F.col("n"), F.col("u")
     base = F.lit(float(size))
     if update_exclusion:
-        excluded = F.coalesce(F.min_by(F.when(F.col("k") >= 1, u), F.when(F.col("k") >= 1, F.col("k"))), F.lit(0))
+        excluded = F.coalesce(F.min_by(u, F.when((F.col("k") >= 1) & u.isNotNull(), F.col("k"))), F.lit(0))
         base = F.when(F.lit(size) - excluded > 0, F.lit(size) - excluded).otherwise(size).cast("double")
+    escapes = F.sum(F.when(F.col("cnt").isNull() & n.isNotNull(), -F.log2(u / (n + u))).otherwise(0.0))
     hit = F.when(F.col("cnt").isNotNull(), F.col("k"))
-    escapes = F.sum(F.when(F.col("cnt").isNull(), -F.log2(u / (n + u))).otherwise(0.0))
     end = F.coalesce(F.max_by(-F.log2(F.col("cnt") / (n + u)), hit), F.log2(base))
-    return levels.groupBy("ctx", "sym").agg((escapes + end).alias(cost))
+    bits = F.least(escapes + end, F.lit(996.578428466209))  # a probability of 1e-300 at least
+    return levels.groupBy("ctx", "sym").agg(*(F.first(c).alias(c) for c in kept), bits.alias("bits"))
 
 
 @dataclass
@@ -62,13 +63,17 @@ class PPM(Model):
 
     def fit(self, segments: DataFrame) -> PPM:
         require_text(segments)
-        symbols = symbol_tables(context_counts(segments, self.order))
-        return self._with({"symbols": symbols, "contexts": context_tables(symbols)})
+        return self._with({"contexts": context_tables(symbol_tables(context_counts(segments, self.order)))})
+
+    def symbols(self) -> DataFrame:
+        """ctx, k, sym, cnt."""
+        self.need()
+        return self.tables["contexts"].select("ctx", "k", F.explode("syms").alias("sym", "cnt"))
 
     def merge(self, other: PPM) -> PPM:
         """The model of both trainings."""
-        both = self.tables["symbols"].unionByName(other.tables["symbols"]).groupBy("ctx", "k", "sym").agg(F.sum("cnt").alias("cnt"))
-        return self._with({"symbols": both, "contexts": context_tables(both)})
+        both = self.symbols().unionByName(other.symbols()).groupBy("ctx", "k", "sym").agg(F.sum("cnt").alias("cnt"))
+        return self._with({"contexts": context_tables(both)})
 
     def context_tree_size(self) -> int:
         self.need()
@@ -76,19 +81,19 @@ class PPM(Model):
 
     def symbol_probability(self, symbol: str, context: str) -> float:
         self.need()
-        pair = self.tables["symbols"].sparkSession.createDataFrame([(context[-self.order :], symbol)], "ctx string, sym string")
-        row = pair_costs(pair, self.tables["symbols"], self.tables["contexts"], self.alphabet.size, self.update_exclusion).first()
-        return 2.0 ** -row["bits"] if row else 1.0 / self.alphabet.size
+        pair = self.tables["contexts"].sparkSession.createDataFrame([(context[-self.order :], symbol)], "ctx string, sym string")
+        return 2.0 ** -pair_costs(pair, self.tables["contexts"], self.alphabet.size, self.update_exclusion).first()["bits"]
 
     def costs(self, segments: DataFrame, by: list[str] | None = None) -> DataFrame:
         """Distinct pairs are scored once; contexts begin anew with each segment."""
         self.need()
         by = by or []
-        counted = context_counts(segments, self.order, by)
+        counted = context_counts(segments, self.order, by).withColumnRenamed("cnt", "m")
         pairs = counted.select("ctx", "sym").distinct() if by else counted
-        scored = pair_costs(pairs, self.tables["symbols"], self.tables["contexts"], self.alphabet.size, self.update_exclusion)
-        bits = F.least(F.coalesce("bits", F.lit(self.alphabet.log2_size)), F.lit(996.578428466209))  # 1e-300 at least
-        return counted.join(scored, ["ctx", "sym"], "left").groupBy(*by).agg(F.sum("cnt").alias("events"), F.sum(F.col("cnt") * bits).alias("bits"))
+        scored = pair_costs(pairs, self.tables["contexts"], self.alphabet.size, self.update_exclusion)
+        if by:
+            scored = counted.join(scored, ["ctx", "sym"])
+        return scored.groupBy(*by).agg(F.sum("m").alias("events"), F.sum(F.col("m") * F.col("bits")).alias("bits"))
 
     def top_contexts(self, most: int = 100) -> DataFrame:
         """ctx, k, n of the most frequent contexts but the empty one."""

@@ -29,7 +29,7 @@ def replayed_codelength(segments: DataFrame, model: PPM) -> tuple[int, float]:
 
     This is the check's second path, for models whose tables a worker can hold.
     """
-    symbols = {(r["ctx"], r["sym"]): r["cnt"] for r in model.tables["symbols"].toLocalIterator()}
+    symbols = {(r["ctx"], r["sym"]): r["cnt"] for r in model.symbols().toLocalIterator()}
     contexts = {r["ctx"]: (r["n"], r["u"]) for r in model.tables["contexts"].toLocalIterator()}
     held = segments.sparkSession.sparkContext.broadcast((symbols, contexts, model.order, model.alphabet.size))
 

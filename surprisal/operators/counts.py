@@ -41,20 +41,22 @@ def _windows(text: Column, depth: int) -> Column:
     )
 
 
-def positions(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text") -> DataFrame:
-    """by, ctx, sym for every character: ctx is up to depth characters before it within its text."""
+def gram_counts(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text") -> DataFrame:
+    """by, gram, cnt: each character with up to depth characters before it within its text."""
     by = by or []
-    parts = segments.select(*by, F.explode(_windows(F.col(text), depth)).alias("w")).where("w.piece IS NOT NULL").select(*by, "w.left", F.concat("w.left", "w.piece").alias("all"))
-    at = F.sequence(F.length("left") + 1, F.length("all"))
-    ctx = lambda i: F.col("all").substr(F.greatest(i - depth, F.lit(1)), F.least(F.lit(depth), i - 1))
-    made = F.transform(at, lambda i: F.struct(ctx(i).alias("ctx"), F.col("all").substr(i, F.lit(1)).alias("sym")))
-    return parts.select(*by, F.explode(made).alias("p")).select(*by, "p.ctx", "p.sym")
+    parts = segments.select(*by, F.explode(_windows(F.col(text), depth)).alias("w")).where("w.piece IS NOT NULL")
+    # Positions are exploded as numbers, so that cutting and counting grams stays in generated code.
+    placed = parts.select(*by, F.concat("w.left", "w.piece").alias("all"), F.length("w.left").alias("off"))
+    each = placed.select(*by, "all", F.explode(F.sequence(F.col("off") + 1, F.length("all"))).alias("i"))
+    gram = F.col("all").substr(F.greatest(F.col("i") - depth, F.lit(1)), F.least(F.lit(depth + 1), F.col("i")))
+    return each.select(*by, gram.alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("cnt"))
 
 
 def context_counts(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text") -> DataFrame:
     """by, ctx, sym, cnt for the longest contexts."""
     by = by or []
-    return positions(segments, depth, by, text).groupBy(*by, "ctx", "sym").agg(F.count("*").alias("cnt"))
+    counted = gram_counts(segments, depth, by, text)
+    return counted.select(*by, F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx"), F.expr("right(gram, 1)").alias("sym"), "cnt")
 
 
 def with_levels(pairs: DataFrame, ctx: str = "ctx") -> DataFrame:
@@ -69,5 +71,6 @@ def symbol_tables(counts: DataFrame) -> DataFrame:
 
 
 def context_tables(symbols: DataFrame) -> DataFrame:
-    """ctx, k, n (occurrences), u (distinct symbols)."""
-    return symbols.groupBy("ctx", "k").agg(F.sum("cnt").alias("n"), F.count("*").alias("u"))
+    """ctx, k, n (occurrences), u (distinct symbols), syms (count of each symbol, as many as the alphabet has)."""
+    syms = F.map_from_entries(F.collect_list(F.struct("sym", "cnt")))
+    return symbols.groupBy("ctx", "k").agg(F.sum("cnt").alias("n"), F.count("*").alias("u"), syms.alias("syms"))

@@ -58,7 +58,7 @@ def test_ppm_tables(segs):
     model = PPM(ENGLISH, 2).fit(segs(ABRA))
     assert model.context_tree_size() == 13
     symbols = defaultdict(dict)
-    for r in model.tables["symbols"].collect():
+    for r in model.symbols().collect():
         symbols[r.ctx][r.sym] = r.cnt
     assert symbols[""] == {"a": 5, "b": 2, "r": 2, "c": 1, "d": 1} and symbols["a"] == {"b": 2, "c": 1, "d": 1} and symbols["ab"] == {"r": 2}
     a = model.tables["contexts"].where("ctx = 'a'").first()
