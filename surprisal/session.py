@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,12 @@ def get_session(master: str | None = None, app: str = "surprisal", **conf: str)
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies, wherever the driver was started."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(x for x in [*known, root] if x)
+    return spark
