@@ -18,16 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surprisal.session import ship
+
 #: Rows and bytes an Arrow batch may hold: whole texts may be long, so batches are bounded by both.
 ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, so that a batch of long texts fits a Python worker."""
+    """Bound Arrow batches, so that a batch of long texts fits a Python worker; let workers find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
@@ -46,8 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/surprisal/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, with the scheme of its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/surprisal/{label}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def materialize(df: DataFrame, label: str, partitions_by: list[str] | None = None) -> DataFrame:
