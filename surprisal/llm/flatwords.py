@@ -81,10 +81,10 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class FlatEncoder:
-    """Texts to ids. resolve: the ids of each of some distinct words; special: ids of strings that are no words."""
+    """Texts to ids. resolve: the ids of each of some distinct words; special: ids of strings that are no words; most: words kept."""
 
-    def __init__(self, resolve: Callable[[list[str]], list[np.ndarray]], special: dict[str, int]) -> None:
-        self.resolve, self.special = resolve, special
+    def __init__(self, resolve: Callable[[list[str]], list[np.ndarray]], special: dict[str, int], most: int | None = None) -> None:
+        self.resolve, self.special, self.most = resolve, special, most
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.reset()
 
@@ -160,7 +160,7 @@ class FlatEncoder:
         ends = np.append(starts[1:], n)
         keys = (total[ends] - total[starts]) * down[starts]
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
+        if len(self.keys) > (self.most or CACHE_WORDS):
             self.reset()
         number = self.find(distinct)
         new = np.flatnonzero(number < 0)

@@ -39,6 +39,8 @@ from surprisal.llm.common import prepare, range_bounds, range_number, scratch
 from surprisal.llm.flatwords import FlatEncoder
 
 BLOCK_BYTES, SHARD_ROWS = 1 << 16, 6000
+#: Words that a worker keeps with their ids; some 30 bytes each, and 4 for each id.
+CACHE_WORDS = 1_200_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 NULL_ID = -(2**63)
 MAGIC = b"SURPSST1"
@@ -187,7 +189,7 @@ def library_encoder(vocab_path: str) -> tuple[FlatEncoder, int]:
     tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     resolve = lambda words: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    return FlatEncoder(resolve, special), tokenizer.get_vocab_size(with_added_tokens=True) - 1
+    return FlatEncoder(resolve, special, CACHE_WORDS), tokenizer.get_vocab_size(with_added_tokens=True) - 1
 
 
 def put(path: str, raw: bytes) -> None:
