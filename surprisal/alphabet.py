@@ -24,6 +24,8 @@ ROMANIAN = "ăâîșț"
 PUNCTUATION = ".,;:!?-\"'()[]{}"
 #: Code points whose canonical forms the column expression knows.
 KNOWN = [*range(0x80, 0x3100), *range(0xFB00, 0xFFFE)]
+#: Marks that may stand between a letter and a mark that joins it.
+MARKS = [c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c)]
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,22 @@ class Alphabet:
         return F.length(F.regexp_replace(text, self.others, ""))
 
 
+def _after(letter: str, marks: str) -> str:
+    """A pattern for marks that join a letter; marks of lower classes that do not join may come between, in groups."""
+    out, joined = "", letter
+    for m in marks:
+        between = [x for x in MARKS if unicodedata.combining(x) < unicodedata.combining(m) and len(unicodedata.normalize("NFC", joined + x)) > 1]
+        out += (f"([{''.join(between)}]*+)" if between else "") + m
+        joined = unicodedata.normalize("NFC", joined + m)
+    return out
+
+
+def _one_of(patterns: list[str], to: str) -> tuple[str, str]:
+    """One pattern for several, and its replacement: a target, then the marks that were between."""
+    whole = "|".join(patterns)
+    return whole, to + "".join(f"${i + 1}" for i in range(re.compile(whole.replace("*+", "*")).groups))
+
+
 @lru_cache(32)
 def _tables(alphabet: Alphabet) -> tuple[list[tuple[str, str]], str, str]:
     """Patterns for letters followed by marks, and the translation of single characters."""
@@ -133,11 +151,13 @@ def _tables(alphabet: Alphabet) -> tuple[list[tuple[str, str]], str, str]:
                 marks.setdefault(to, set()).add(parts[1:])
             else:
                 whole.setdefault(to, set()).add(parts)
-    longest = lambda found: "(?:" + "|".join(sorted(found, key=lambda x: (-len(x), x))) + ")"
+    longest = lambda found: sorted(found, key=lambda x: (-len(x), x))
     # Letters that lose their marks go in one pass; other targets have one each, those that vanish first.
-    composed = [(longest(whole[to]), to) for to in sorted(whole, key=lambda t: (t in alphabet.symbols and t != " ", t))]
+    composed = []
+    for to in sorted(whole, key=lambda t: (t in alphabet.symbols and t != " ", t)):
+        composed.append(_one_of([x[0] + _after(x[0], x[1:]) for x in longest(whole[to])], to))
     if marks:
-        composed.append(("|".join(f"(?<={base}){longest(found)}" for base, found in sorted(marks.items())), ""))
+        composed.append(_one_of([f"(?<={base}){_after(base, x)}" for base, found in sorted(marks.items()) for x in longest(found)], ""))
     return composed, "".join(accented), "".join(plain)
 
 

@@ -53,6 +53,13 @@ def test_columns_like_the_definition(spark, texts):
             assert r.n == want, (a.name, r.text, r.n, want)
 
 
+def test_marks_between_a_letter_and_its_mark(spark):
+    texts = ["a\u0327\u0302", "a\u0326\u0301", "e\u0326\u0306", "a\u0327\u0302\u0301b", "a\u0323\u0302", "a\u0327\u0326\u0306", "A\u0334\u0327\u030a", "s\u0323\u0307x", "q\u0327\u0302"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for a in (ENGLISH, ENGLISH_NO_SPACE, ROMANIAN_32, PUNCT):
+        assert [(r.text, r.n) for r in rows.select("text", a.column(F.col("text")).alias("n")).collect()] == [(t, a.normalize(t)) for t in texts], a.name
+
+
 def test_segments(spark, segs):
     got = segments.train_test(segs("abcdefghij", "", "é😀z")).collect()
     assert [(r.train, r.test) for r in got] == [("abcdefgh", "ij"), ("", ""), ("é😀", "z")]
