@@ -4,6 +4,10 @@ Alternating large-star and small-star steps reach the smallest node of each comp
 rounds that grows with the logarithm of the longest path. Neighbourhoods are never collected: each
 step takes the smallest neighbour by a (map-side combined) aggregation and joins it back. Every round
 ends in a table in the shared folder, so a lost executor costs one round at most.
+
+A star's edges share its centre, so joining them by key would bring them all to one task. `lowest`
+therefore joins the heavy keys, those with over 1 / HEAVY_MOST of all rows, as a broadcast table: there
+are fewer than HEAVY_MOST of them at any size of input. No task of the other join meets a heavier key.
 """
 
 from __future__ import annotations
@@ -13,19 +17,30 @@ from pyspark.sql import functions as F
 
 from surprisal.llm.common import materialize
 
+#: Heavy keys number fewer than this, whatever the input, since each has over this part of the rows.
+HEAVY_MOST = 1000
+
+
+def lowest(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows, whose key is never null, with the smallest value among the rows of the same key; rows are read several times."""
+    found = materialize(rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("__rows")), "lowest")
+    part = (found.agg(F.sum("__rows")).first()[0] or 0) / HEAVY_MOST
+    heavy = F.broadcast(found.where(F.col("__rows") > part).drop("__rows"))
+    light = found.where(F.col("__rows") <= part).drop("__rows")
+    return rows.join(heavy, key).union(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.union(edges.select("b", "a"))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(low, both.a == low.u).where("b > a").selectExpr("b AS a", "m AS b")
+    return lowest(both, "a", "b", "m").where("b > a").selectExpr("b AS a", "least(a, m) AS b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Join every smaller neighbour of a node, and the node, to the smallest of them."""
-    down = edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b")
-    low = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    return down.join(low, down.a == low.u).selectExpr("b AS a", "m AS b").where("a <> b").union(low.select("u", "m"))
+    down = edges.where("a > b")
+    near = lowest(down, "a", "b", "m")
+    return near.selectExpr("b AS a", "m AS b").where("a <> b").union(near.where("b = m").select("a", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,6 +50,6 @@ def components(edges: DataFrame) -> DataFrame:
     before, mark = None, seal(now)
     while mark != before:
         before = mark
-        now = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        now = materialize(_small_star(materialize(_large_star(now).distinct(), "stars")).distinct(), "edges")
         mark = seal(now)
     return now.selectExpr("a AS node", "b AS root").union(now.selectExpr("b AS node", "b AS root").distinct())

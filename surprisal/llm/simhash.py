@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surprisal.llm.common import map_batches, materialize, prepare
-from surprisal.llm.components import components
+from surprisal.llm.components import components, lowest
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 MIN_SHARED = 8 - MAX_BITS
@@ -209,9 +209,8 @@ def label(fps: DataFrame) -> DataFrame:
     fps = materialize(fps, "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return fps.join(rooted.join(low, "root").select("fp", "component_id", "root"), "fp")
+    rooted = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "rooted")
+    return fps.join(lowest(rooted, "root", "first_doc", "component_id").select("fp", "component_id", "root"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from conftest import DATA, ODD
 
+from surprisal.llm import components as parts
 from surprisal.llm import simhash
 from surprisal.llm.components import components
 
@@ -94,6 +95,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def test_components_of_light_and_heavy_nodes(spark, monkeypatch):
+    monkeypatch.setattr(parts, "HEAVY_MOST", 8)
+    test_components(spark)
+    rows = [(1, 5), (1, 3), (1, 4), (1, 9), (2, 7), (3, None), (4, 2), (4, 2), (5, 1)]
+    got = parts.lowest(spark.createDataFrame(rows, "k bigint, v bigint"), "k", "v", "low")
+    assert got.columns == ["k", "v", "low"]
+    assert Counter(map(tuple, got.collect())) == Counter((k, v, {1: 3, 2: 7, 3: None, 4: 2, 5: 1}[k]) for k, v in rows)
+
+
 def test_keep_one(spark, docs):
     texts = [*ODD, "the quick brown fox jumps over it", "the quick brown fox jumps over it", None]
     ids = [*range(len(ODD)), 50, 50, 60]
