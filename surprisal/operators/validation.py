@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -15,8 +16,11 @@ from surprisal.functions.text import redundancy_of
 from surprisal.models.base import Model
 from surprisal.operators.segments import blocks
 
-#: Draws that one table of draws may hold: the driver makes them, so that they follow numpy's stream.
-DRAWS_MOST = 50_000_000
+#: Draws that are held at once: a resample's draws come from the stream in pieces of this many.
+DRAWS_AT_ONCE = 1 << 20
+#: Blocks whose costs reach the driver, two numbers each, so that the draws follow numpy's stream (32 MB);
+#: more blocks stay where they are and are resampled by poisson_bootstrap.
+BLOCKS_MOST = 2_000_000
 
 
 def block_costs(segments: DataFrame, model: Model, size: int = 2000, by: list[str] | None = None) -> DataFrame:
@@ -27,19 +31,31 @@ def block_costs(segments: DataFrame, model: Model, size: int = 2000, by: list[st
     return costs
 
 
-def numbered(costs: DataFrame) -> list[tuple[int, float]]:
-    """Events and bits of the blocks in order; two numbers a block."""
-    return [(r["events"], r["bits"]) for r in costs.orderBy("seg_id", "block_id").select("events", "bits").toLocalIterator()]
+def numbered(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Events and bits of the blocks in order."""
+    found = costs.orderBy("seg_id", "block_id").select(F.col("events").cast("double").alias("events"), "bits").toArrow()
+    return found.column("events").to_numpy(), found.column("bits").to_numpy()
 
 
 def draws(blocks_count: int, resamples: int, seed: int) -> np.ndarray:
-    """Which blocks each resample draws."""
-    if blocks_count * resamples > DRAWS_MOST:
-        raise ValueError("too many draws for one stream; use poisson_bootstrap")
+    """Which blocks each resample draws, as one array."""
     r = np.random.default_rng(seed)
     return np.stack([r.integers(0, blocks_count, size=blocks_count) for _ in range(resamples)])
 
 
+def resampled(events: np.ndarray, bits: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Bits per event of each resample, with the draws of draws() in pieces of DRAWS_AT_ONCE."""
+    r, n = np.random.default_rng(seed), len(events)
+    out = np.zeros(resamples)
+    for k in range(resamples):
+        sums = np.zeros(2)
+        for at in range(0, n, DRAWS_AT_ONCE):
+            drawn = r.integers(0, n, size=min(DRAWS_AT_ONCE, n - at))
+            sums += bits[drawn].sum(), events[drawn].sum()
+        out[k] = sums[0] / sums[1]
+    return out
+
+
 def summary(values: np.ndarray, confidence: float) -> dict[str, float]:
     low, high = np.percentile(values, [50 * (1 - confidence), 100 - 50 * (1 - confidence)])
     return {"mean_bpc": float(values.mean()), "std_bpc": float(values.std(ddof=1)) if len(values) > 1 else 0.0, "ci_lower_bpc": float(low), "ci_upper_bpc": float(high)}
@@ -59,15 +75,21 @@ def block_bootstrap(segments: DataFrame, model: Model, block_size: int = 2000, n
 
     Blocks are scored once. Contexts begin anew with each block, which is exact for models without
     context and costs context models the context of a block's first characters.
+    Up to BLOCKS_MOST blocks the draws follow numpy's stream; more are resampled by poisson_bootstrap.
     """
     _check(block_size, n_resamples, confidence_level)
-    found = numbered(block_costs(segments, model, block_size))
-    if not found:
-        raise ValueError("there is no text")
-    events, bits = (np.array(x, float) for x in zip(*found, strict=True))
-    drawn = draws(len(found), n_resamples, seed)
-    values = bits[drawn].sum(axis=1) / events[drawn].sum(axis=1)
-    return summary(values, confidence_level) | {"n_resamples": n_resamples, "block_size": block_size, "confidence_level": confidence_level, "n_blocks": len(found)}
+    costs = block_costs(segments, model, block_size).persist()
+    try:
+        n = costs.count()
+        if not n:
+            raise ValueError("there is no text")
+        if n > BLOCKS_MOST:
+            found = poisson_bootstrap(costs, n_resamples, confidence_level, seed).first().asDict()
+        else:
+            found = summary(resampled(*numbered(costs), n_resamples, seed), confidence_level)
+    finally:
+        costs.unpersist()
+    return found | {"n_resamples": n_resamples, "block_size": block_size, "confidence_level": confidence_level, "n_blocks": n}
 
 
 def resample_table(spark, blocks_count: int, resamples: int, seed: int) -> DataFrame:  # noqa: ANN001
@@ -96,14 +118,11 @@ def segment_bootstrap(segments: DataFrame, model: Model, **options: Any) -> dict
     """block_bootstrap of each segment; a segment without text is left out."""
     size, n, level, seed = (options.get(k, v) for k, v in (("block_size", 2000), ("n_resamples", 1000), ("confidence_level", 0.95), ("seed", 42)))
     _check(size, n, level)
-    out: dict[int, list] = {}
-    for r in block_costs(segments, model, size).orderBy("seg_id", "block_id").toLocalIterator():
-        out.setdefault(r["seg_id"], []).append((r["events"], r["bits"]))
     done = {}
-    for seg, found in out.items():
-        events, bits = (np.array(x, float) for x in zip(*found, strict=True))
-        drawn = draws(len(found), n, seed)
-        done[seg] = summary(bits[drawn].sum(axis=1) / events[drawn].sum(axis=1), level) | {"n_resamples": n, "block_size": size, "confidence_level": level, "n_blocks": len(found)}
+    ordered = block_costs(segments, model, size).orderBy("seg_id", "block_id").toLocalIterator()
+    for seg, rows in groupby(ordered, lambda r: r["seg_id"]):
+        events, bits = np.array([(r["events"], r["bits"]) for r in rows], float).T
+        done[seg] = summary(resampled(events, bits, n, seed), level) | {"n_resamples": n, "block_size": size, "confidence_level": level, "n_blocks": len(events)}
     return done
 
 
