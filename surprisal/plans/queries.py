@@ -22,7 +22,7 @@ from surprisal.operators.segments import train_test
 from surprisal.sources.results import card_measures
 
 PUNCTUATED = ENGLISH.variant(include_punctuation=True)
-RESAMPLES = 200
+RESAMPLES = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

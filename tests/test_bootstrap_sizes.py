@@ -31,3 +31,10 @@ def test_many_blocks_are_resampled_distributed(spark, segs, monkeypatch):
     assert set(many) == set(few) and many["n_blocks"] == few["n_blocks"] > 10
     for k in ("mean_bpc", "std_bpc", "ci_lower_bpc", "ci_upper_bpc"):
         assert many[k] == pytest.approx(few[k], abs=0.01)
+
+
+def test_queries_draw_as_often_as_the_configuration():
+    from surprisal.config import Config
+    from surprisal.plans import queries
+
+    assert queries.RESAMPLES == Config().resamples == 1000
