@@ -29,14 +29,17 @@ from surprisal.llm.common import map_batches, prepare
 PATH_SIZE, WORD_SIZE, COUNTS, HIDDEN = 96, 48, 8, 24
 INPUT = PATH_SIZE + WORD_SIZE + COUNTS
 WORDS_READ = 64
-#: Elements whose content is no text of the page, those that start a block of their own, those that never
-#: close, and those that end an open element of the same kind (fixed values of HTML).
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "select", "button", "object", "canvas", "audio", "video"}
+#: Elements whose content is no text of the page: those whose content is no markup either, so that an open
+#: one reaches to the end of the page, and others. Then those that start a block of their own, those that
+#: never close, and those that end an open element of the same kind (fixed values of HTML).
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}
+HIDDEN = {"svg", "select", "button", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"html", "body", "head", "p"}
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ANY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _LOOSE = re.compile(r"(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
@@ -52,6 +55,30 @@ class Leaf:
         self.path, self.text, self.linked = path, text, linked
 
 
+def hidden_end(page: str, at: int, name: str) -> int:
+    """Where a HIDDEN element opened before at ends: behind its end tag, or, if it is not closed before another
+    of its name opens or the block around it ends, at the first block's tag."""
+    first, inside = None, []
+    for m in _ANY.finditer(page, at):
+        tag = m[2].lower()
+        if tag == name:
+            if m[1]:
+                gt = page.find(">", m.end())
+                return len(page) if gt < 0 else gt + 1
+            return m.start() if first is None else first
+        if tag in BLOCK:
+            first = m.start() if first is None else first
+            if not m[1]:
+                if tag not in VOID:
+                    inside.append(tag)
+            elif tag in inside:
+                while inside.pop() != tag:
+                    pass
+            else:
+                return first
+    return at if first is None else first
+
+
 def leaves(page: str) -> list[Leaf]:
     """The page's blocks in order; blocks without text are left out."""
     out: list[Leaf] = []
@@ -105,6 +132,11 @@ def leaves(page: str) -> list[Leaf]:
                     at = n if gt < 0 else gt + 1
             parts.append(" " if name not in BLOCK else "")
             continue
+        if name in HIDDEN:
+            if not m[1] and not m[3].endswith("/"):
+                at = hidden_end(page, at, name)
+            parts.append(" ")
+            continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
