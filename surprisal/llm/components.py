@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps reach the smallest node of each component in a number of
 rounds that grows with the logarithm of the longest path. Neighbourhoods are never collected: each
 step takes the smallest neighbour by a (map-side combined) aggregation and joins it back. Every round
-ends in a table in the shared folder, so a lost executor costs one round at most.
+ends in a table in the shared folder, so a lost executor costs one round at most. Rounds end when every
+edge leads straight to a root.
 
 A star's edges share its centre, so joining them by key would bring them all to one task. `lowest`
 therefore joins the heavy keys, those with over 1 / HEAVY_MOST of all rows, as a broadcast table: there
@@ -43,13 +44,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.selectExpr("b AS a", "m AS b").where("a <> b").union(near.where("b = m").select("a", "m"))
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether some node has two roots, or a root that has one itself."""
+    nodes = edges.selectExpr("a AS v", "1 AS roots", "false AS root").union(edges.selectExpr("b", "0", "true"))
+    return bool(nodes.groupBy("v").agg(F.sum("roots").alias("n"), F.max("root").alias("r")).where("n > 1 OR (n > 0 AND r)").head(1))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b: bigint); root is the smallest node that it reaches."""
     now = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
-    seal = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before, mark = None, seal(now)
-    while mark != before:
-        before = mark
+    while _open(now):
         now = materialize(_small_star(materialize(_large_star(now).distinct(), "stars")).distinct(), "edges")
-        mark = seal(now)
     return now.selectExpr("a AS node", "b AS root").union(now.selectExpr("b AS node", "b AS root").distinct())

@@ -14,8 +14,8 @@ consist of distinct fingerprints that agree in five bytes, so at most 2**24 of t
 fingerprints link exactly if they agree after three of the 24 free bits are blanked, which finds
 links by sorting, without pairs.
 
-Only distinct fingerprints are linked; lists yield a spanning forest of their links. So copies, and
-near copies by the thousand, cost no pairs.
+Only distinct fingerprints are linked; lists yield a star for each connected part, not its links. So
+copies, and near copies by the thousand, cost no pairs.
 
 Defined results: a text without words, empty or null has fingerprint zero and links as any other; a
 null doc_id never names a component unless there is no other; repeated rows share a component.
@@ -100,10 +100,11 @@ def _shared(x: np.ndarray) -> np.ndarray:
 
 
 def forest(members: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join all members connected by links of MAX_BITS differing bits; members are distinct."""
+    """For each part connected by links of MAX_BITS differing bits, its first member with each other one; members are distinct."""
     left, links = members, []
     while len(left) > 1:
         front, left = left[:1], left[1:]
+        start = int(front[0])
         while len(front) and len(left):
             taken = np.zeros(len(left), bool)
             for x in front.tolist():
@@ -112,7 +113,7 @@ def forest(members: np.ndarray) -> list[tuple[int, int]]:
                 some = _shared(apart) >= MIN_SHARED
                 free, apart = free[some], apart[some]
                 near = free[_bits(apart) <= MAX_BITS]
-                links += [(x, y) for y in left[near].tolist()]
+                links += [(start, y) for y in left[near].tolist()]
                 taken[near] = True
             front, left = left[taken], left[~taken]
     return links

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from conftest import DATA
 from test_decontam import brute as brute_hits
-from test_simhash import brute as brute_components
+from test_resemblance import brute as brute_kept
 
 import corpus_pipeline
 from surprisal.llm import bpe, decontam, quality
@@ -16,8 +16,8 @@ def test_pipeline_by_brute_force(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     model = quality.fit(docs, labels)
     texts = {i: t for i, t in texts.items() if model.score(t) >= 0.5}
-    found = brute_components(texts)
-    texts = {i: t for i, t in texts.items() if found[i][1] == i}
+    stays = brute_kept(texts)
+    texts = {i: t for i, t in texts.items() if i in stays}
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     hits = brute_hits(texts, items)
     index = decontam.Index.build(items)
