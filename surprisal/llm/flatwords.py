@@ -1,8 +1,10 @@
 """Vectorised pre-tokenization for byte-level BPE: many texts as one flat array of code points.
 
-Word bounds come from character classes with array operations, words are told apart by a 64-bit
+Word bounds come from character classes with array operations, words are looked up by a 64-bit
 hash, and only words that the worker has not met are handed to an encoder. Its ids stay in a pool
-of bounded size, from which the ids of whole texts are gathered.
+of bounded size, from which the ids of whole texts are gathered. The pool holds the words' characters
+too: every word of every text is compared with the word whose ids it gets, all of them in one array
+operation, and one that only shares the hash is encoded for itself.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import numpy as np
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 #: Code points handled at once; texts are never cut, so one long text may exceed it.
 CHUNK_CHARS = 1_000_000
-CACHE_WORDS = 600_000
+#: The cache is emptied beyond so many words, or characters of words.
+CACHE_WORDS, CACHE_CHARS = 600_000, 16_000_000
 #: White space as Unicode defines it (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -93,6 +96,9 @@ class FlatEncoder:
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        # By number, where the word's characters lie and how many there are.
+        self.chars, self.filled, self.count = np.zeros(1 << 16, np.uint32), 0, 0
+        self.place, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The numbers of words by their keys, -1 for unknown ones."""
@@ -101,25 +107,51 @@ class FlatEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.numbers[at], -1).astype(np.int64)
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
-        """Put the ids of new words into the pool; their numbers."""
+    def store(self, words: list[str]) -> np.ndarray:
+        """Put the ids and characters of new words into the pools; their numbers."""
         ids = self.resolve(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, start = int(sizes.sum()), len(self.keys)
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        total, many, start, end = int(sizes.sum()), int(letters.sum()), self.count, self.count + len(ids)
         while len(self.pool) < self.used + total:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.offset) < start + len(ids):
-            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
+        while len(self.chars) < self.filled + many:
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        while len(self.offset) < end:
+            self.offset, self.length, self.place, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length, self.place, self.size))
         self.pool[self.used : self.used + total] = np.concatenate(ids)
-        self.offset[start : start + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.length[start : start + len(ids)] = sizes
-        self.used += total
-        numbers = np.arange(start, start + len(ids))
+        self.chars[self.filled : self.filled + many] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        self.offset[start:end], self.length[start:end] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.place[start:end], self.size[start:end] = self.filled + np.cumsum(letters) - letters, letters
+        self.used, self.filled, self.count = self.used + total, self.filled + many, end
+        return np.arange(start, end)
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """Store new words under their keys; their numbers."""
+        numbers = self.store(words)
         merged = np.concatenate([self.keys, keys])
         order = np.argsort(merged, kind="stable")
         self.keys, self.numbers = merged[order], np.concatenate([self.numbers, numbers.astype(np.int32)])[order]
         return numbers
 
+    def checked(self, number: np.ndarray, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """number, after each word has been compared with the known word of its number; others are stored for themselves."""
+
+        def apart(number: np.ndarray, bad: np.ndarray) -> np.ndarray:
+            own: dict[str, list[int]] = {}
+            for i in np.flatnonzero(bad).tolist():
+                own.setdefault(joined[starts[i] : ends[i]], []).append(i)
+            number = number.copy()
+            for new, where in zip(self.store(list(own)).tolist(), own.values(), strict=True):
+                number[where] = new
+            return number
+
+        length = ends - starts
+        if (bad := self.size[number] != length).any():
+            number = apart(number, bad)
+        differs = self.chars[np.arange(len(points)) + np.repeat(self.place[number] - starts, length)] != points
+        return apart(number, np.logical_or.reduceat(differs, starts)) if differs.any() else number
+
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """The ids of each text (uint32); the cache is emptied when full, which never changes results."""
         out: list[np.ndarray] = []
@@ -160,14 +192,14 @@ class FlatEncoder:
         ends = np.append(starts[1:], n)
         keys = (total[ends] - total[starts]) * down[starts]
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > (self.most or CACHE_WORDS):
+        if self.count > (self.most or CACHE_WORDS) or self.filled > CACHE_CHARS:
             self.reset()
         number = self.find(distinct)
         new = np.flatnonzero(number < 0)
         if len(new):
             words = [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             number[new] = self.learn(distinct[new], words)
-        number = number[inverse]
+        number = self.checked(number[inverse], joined, points, starts, ends)
         length = self.length[number].astype(np.int64)
         done = np.cumsum(length)
         ids = self.pool[np.repeat(self.offset[number] - done + length, length) + np.arange(done[-1])]

@@ -21,11 +21,12 @@ by text; a null doc_id comes first.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,11 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surprisal.llm.common import prepare, range_bounds, range_number, scratch
-from surprisal.llm.flatwords import FlatEncoder
 
 BLOCK_BYTES, SHARD_ROWS = 1 << 16, 6000
-#: Words that a worker keeps with their ids; some 30 bytes each, and 4 for each id.
-CACHE_WORDS = 1_200_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 NULL_ID = -(2**63)
 MAGIC = b"SURPSST1"
@@ -180,16 +178,21 @@ class Shard:
 
 
 @lru_cache(4)
-def library_encoder(vocab_path: str) -> tuple[FlatEncoder, int]:
-    """Texts to ids with the tokenizers library: it encodes each word that a worker has not met. Also the largest id."""
+def library_encoder(vocab_path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
+    """Whole texts to ids by the tokenizers library, equal texts of a batch once. Also the largest id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocab_path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    resolve = lambda words: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    return FlatEncoder(resolve, special, CACHE_WORDS), tokenizer.get_vocab_size(with_added_tokens=True) - 1
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        distinct = list(dict.fromkeys(texts))
+        ids = dict(zip(distinct, (np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
+        return [ids[t] for t in texts]
+
+    return encode, tokenizer.get_vocab_size(with_added_tokens=True) - 1
 
 
 def put(path: str, raw: bytes) -> None:
@@ -210,7 +213,7 @@ def write(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 0) -> lis
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").isNotNull(), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, largest = library_encoder(vocab_path)
+        encode, largest = library_encoder(vocab_path)
         bucket = writer = None
         before, number = object(), 0
 
@@ -219,7 +222,7 @@ def write(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 0) -> lis
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (bucket, len(writer.keys), writer.tokens)], ["shard", "docs", "tokens"])
 
         for batch in batches:
-            encoded = encoder.encode(batch.column("text").to_pylist())
+            encoded = encode(batch.column("text").to_pylist())
             for b, doc_id, ids in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if b != bucket:
                     if writer:

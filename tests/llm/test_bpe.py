@@ -26,7 +26,7 @@ def test_like_the_library(text):
     ids = mine.encode([text])[0]
     assert ids.tolist() == ids_of(text)
     assert mine.decode(ids) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
-    assert sstable.library_encoder(PATH)[0].encode([text])[0].tolist() == ids_of(text)
+    assert sstable.library_encoder(PATH)[0]([text, text])[1].tolist() == ids_of(text)
 
 
 @pytest.mark.parametrize("word", ["ab" * 3000, "x" * 5000, "abcabd" * 50, "a" * 257])
@@ -35,6 +35,37 @@ def test_long_words(word):
     assert bpe.load(PATH).merge_words([word[:100].encode()])[0].tolist() == ids_of(word[:100])
 
 
+def thue_morse(n, letters="ab"):
+    """A word and its complement, which polynomial hashes modulo a power of two do not tell apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_of_one_hash(n):
+    a, b = thue_morse(n)
+    for texts in ([a, b], [b, a, b], [f"{a} {b}", f"x {b} {a}", a]):
+        mine = bpe.Bpe(PATH)
+        got = mine.encode(texts)
+        assert [x.tolist() for x in got] == [ids_of(t) for t in texts]
+        assert [mine.decode(x) for x in got] == texts
+        assert [x.tolist() for x in mine.encode([b])] == [ids_of(b)]
+
+
+def test_words_of_one_hash_and_other_lengths(monkeypatch):
+    mine = bpe.Bpe(PATH)
+    monkeypatch.setattr("surprisal.llm.flatwords.powers", lambda n: (np.zeros(n, np.uint64), np.zeros(n, np.uint64)))
+    for texts in (["one three five", "seven one"], ["three é😀 one", "", "one"], ["five" * 90]):
+        assert [x.tolist() for x in mine.encode(texts)] == [ids_of(t) for t in texts]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "ab", "ba", "thé", "字", "12", "!?"]), st.integers(1, 2500)), max_size=4))
+def test_long_words_like_the_library(parts):
+    text = " ".join((p * n)[:5000] for p, n in parts)
+    assert bpe.load(PATH).encode([text])[0].tolist() == ids_of(text)
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr("surprisal.llm.flatwords.CACHE_WORDS", 3)
     mine = bpe.Bpe(PATH)
