@@ -11,9 +11,11 @@ Conventions of every operator in this subpackage:
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local master gets one below its warehouse; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/surprisal-checkpoints"
-    return found.rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/surprisal-checkpoints").rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -94,27 +96,32 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-#: Ranges that a table may be dealt into; their bounds are part of the plan.
-RANGES_MOST = 16384
+#: Bytes of text in a range of rows, about, and ids sampled for each range's bounds.
+RANGE_BYTES, SAMPLED = 24 << 20, 32
 
 
-def range_bounds(df: DataFrame, column: str, rows_each: int) -> list[int]:
-    """Ascending bounds that deal a bigint column without nulls into ranges of about rows_each rows."""
-    count = df.count()
-    ranges = min(RANGES_MOST, max(1, -(-count // rows_each)))
-    if ranges == 1:
+def range_bounds(df: DataFrame, column: str, text: str) -> list[int]:
+    """Ascending bounds that deal a bigint column without nulls into ranges of about RANGE_BYTES of text; as many as it takes.
+
+    The driver holds SAMPLED ids a range, that is 11 bytes for each megabyte of text."""
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    ranges = -(-(size or 0) // RANGE_BYTES)
+    if ranges < 2:
         return []
-    found = df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    return sorted({int(x) for x in found})
+    found = df.select(column).sample(min(1.0, SAMPLED * ranges / rows), 20).toArrow().column(0).to_numpy()
+    found = np.sort(found)
+    return np.unique(found[np.linspace(0, len(found), ranges + 1)[1:-1].astype(int)]).tolist() if len(found) else []
 
 
-def range_number(column: str, bounds: list[int]) -> Column:
-    """How many of the bounds are at or below the column's value, by two short scans."""
+def with_range(df: DataFrame, column: str, bounds: list[int], name: str) -> DataFrame:
+    """df with the number of bounds at or below the column's value, by two short scans of a table that is no part of the plan's text."""
     if not bounds:
-        return F.lit(0)
+        return df.withColumn(name, F.lit(0))
     step = math.isqrt(len(bounds)) + 1
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    schema = pa.schema([("heads", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
+    held = df.sparkSession.createDataFrame(pa.table({"heads": [[p[-1] for p in parts if len(p) == step]], "parts": [[*parts, []]]}, schema))
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col(column)))
-    heads = below(longs(bounds[step - 1 :: step]))
-    parts = F.array(*(longs(bounds[i : i + step]) for i in range(0, len(bounds), step)), F.array().cast("array<bigint>"))
-    return heads * step + below(F.element_at(parts, heads + 1))
+    both = df.withColumns({"__heads": held.select("heads").scalar(), "__parts": held.select("parts").scalar()})
+    over = both.withColumn("__over", below(F.col("__heads")))
+    return over.withColumn(name, F.col("__over") * step + below(F.element_at("__parts", F.col("__over") + 1))).drop("__heads", "__parts", "__over")

@@ -11,9 +11,12 @@ ids as 2- or 4-byte little-endian integers. Blocks are deflated one by one; a bl
 entries reach BLOCK_BYTES. The index has the first key, place and size of each block; lookups search
 it by bisection after asking the Bloom filter.
 
-Each range of doc_id is written by one task as one file, first under a name of the attempt and then
-renamed, so that a repeated attempt leaves the same file. Files go to the folder given, which all
-executors must share, through the file system of its URI; Spark reads them back.
+Each range of doc_id is written by one task, first under a name of the attempt and then renamed, so
+that a repeated attempt leaves the same files; a file that has SHARD_BYTES of ids is followed by
+another. Ranges are dealt by bytes of text and are as many as it takes. Files go to the folder given,
+which all executors must share, through the file system of its URI, and a manifest of them beside them:
+any session can read the folder, whole or by doc_id. A file is read by pieces: its footer, then index,
+filter or blocks.
 
 Defined results: a null text is empty and holds only the end id; repeated doc_ids follow each other
 by text; a null doc_id comes first.
@@ -25,9 +28,10 @@ import os
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +40,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surprisal.llm.common import prepare, range_bounds, range_number, scratch
+from surprisal.llm.common import prepare, range_bounds, with_range, scratch
 
-BLOCK_BYTES, SHARD_ROWS = 1 << 16, 6000
+#: A block's entries, and a shard's ids, before they are deflated; a longer document is a block or shard of its own.
+BLOCK_BYTES, SHARD_BYTES = 1 << 16, 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 NULL_ID = -(2**63)
 MAGIC = b"SURPSST1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
+MANIFEST = "manifest.parquet"
+NAMES = ["shard", "part", "docs", "tokens", "first_key", "last_key"]
+KINDS = [pa.int64()] * 4 + [pa.binary()] * 2
 
 
 def varint(n: int) -> bytes:
@@ -128,28 +136,39 @@ class Writer:
 
 
 class Shard:
-    """A shard read from bytes."""
+    """A shard, read piece by piece. read(at, size) gives bytes of it."""
 
-    def __init__(self, raw: bytes) -> None:
-        self.raw = raw
-        self.place, n_index, n_bloom, self.bits, self.n_docs, self.n_tokens, width, magic = FOOTER.unpack(raw[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], bytes], size: int) -> None:
+        self.read = read
+        self.place, self.n_index, self.n_bloom, self.bits, self.n_docs, self.n_tokens, width, magic = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
         self.kind = "<u2" if width == 2 else "<u4"
-        self.bloom = raw[self.place + n_index : self.place + n_index + n_bloom]
-        self.index: list[tuple[bytes, int, int]] = []
-        at, end = self.place, self.place + n_index
-        while at < end:
+
+    @classmethod
+    def of(cls, raw: bytes) -> Shard:
+        return cls(lambda at, size: raw[at : at + size], len(raw))
+
+    @cached_property
+    def bloom(self) -> bytes:
+        return self.read(self.place + self.n_index, self.n_bloom)
+
+    @cached_property
+    def index(self) -> list[tuple[bytes, int, int]]:
+        """The first key, place and size of each block."""
+        raw, at, out = self.read(self.place, self.n_index), 0, []
+        while at < len(raw):
             n, at = read_varint(raw, at)
             key, at = raw[at : at + n], at + n
             place, at = read_varint(raw, at)
             size, at = read_varint(raw, at)
-            self.index.append((key, place, size))
+            out.append((key, place, size))
+        return out
 
     def entries(self, number: int) -> Iterator[tuple[bytes, np.ndarray]]:
         """Keys and ids of one block."""
         _, place, size = self.index[number]
-        raw, at, key = zlib.decompress(self.raw[place : place + size]), 0, b""
+        raw, at, key = zlib.decompress(self.read(place, size)), 0, b""
         while at < len(raw):
             shared, at = read_varint(raw, at)
             rest, at = read_varint(raw, at)
@@ -177,6 +196,14 @@ class Shard:
         return out
 
 
+@contextmanager
+def opened(path: str) -> Iterator[Shard]:
+    """A shard of a file, of which only the pieces asked for are read."""
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_input_file(place) as f:
+        yield Shard(lambda at, size: f.read_at(size, at), f.size())
+
+
 @lru_cache(4)
 def library_encoder(vocab_path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
     """Whole texts to ids by the tokenizers library, equal texts of a batch once. Also the largest id."""
@@ -205,78 +232,101 @@ def put(path: str, raw: bytes) -> None:
     system.move(own, place)
 
 
-def write(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 0) -> list[tuple[int, int, int]]:
-    """Encode docs (doc_id, text) into shards below folder; number, documents and ids of each shard, in order of doc_id."""
+def write(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 0) -> None:
+    """Encode docs (doc_id, text) into shards below folder, and a manifest of them in order of doc_id: MANIFEST."""
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.withColumn("bucket", range_number("id", range_bounds(rows.select("id"), "id", SHARD_ROWS)))
+    dealt = with_range(rows, "id", range_bounds(rows, "id", "text"), "bucket")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").isNotNull(), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, largest = library_encoder(vocab_path)
         bucket = writer = None
-        before, number = object(), 0
+        before, number, part = object(), 0, 0
 
         def done() -> pa.RecordBatch:
-            put(f"{folder}/{bucket:08d}.sst", writer.finish())
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (bucket, len(writer.keys), writer.tokens)], ["shard", "docs", "tokens"])
+            put(f"{folder}/{name(bucket, part)}", writer.finish())
+            made = (bucket, part, len(writer.keys), writer.tokens, writer.keys[0], writer.keys[-1])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, KINDS, strict=True)], NAMES)
 
         for batch in batches:
             encoded = encode(batch.column("text").to_pylist())
             for b, doc_id, ids in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
-                if b != bucket:
+                full = writer and writer.tokens and (writer.tokens + len(ids)) * writer.width > SHARD_BYTES
+                if b != bucket or full:
                     if writer:
                         yield done()
-                    bucket, writer, before = b, Writer(2 if largest < 1 << 16 else 4), object()
+                    part = part + 1 if b == bucket else 0
+                    before = before if b == bucket else object()
+                    bucket, writer = b, Writer(2 if largest < 1 << 16 else 4)
                 number = number + 1 if doc_id == before else 0
                 before = doc_id
                 writer.add(key_of(doc_id, number), np.append(ids, np.uint32(end_id)))
         if writer:
             yield done()
 
-    made = dealt.select("bucket", "doc_id", "text").mapInArrow(run, "shard bigint, docs bigint, tokens bigint").collect()
-    return sorted(map(tuple, made))
+    dealt.select("bucket", "doc_id", "text").mapInArrow(run, ", ".join(f"{n} {'binary' if t == pa.binary() else 'bigint'}" for n, t in zip(NAMES, KINDS, strict=True))).write.parquet(f"{folder}/{MANIFEST}")
+
+
+def manifest(spark: SparkSession, folder: str) -> pa.Table:
+    """The shards in order: NAMES, and start, the ids of all shards before. Some 60 bytes for each shard."""
+    found = spark.read.parquet(f"{folder}/{MANIFEST}").toArrow().sort_by([("shard", "ascending"), ("part", "ascending")])
+    tokens = found.column("tokens").to_numpy()
+    return found.append_column("start", pa.array(np.cumsum(tokens) - tokens, pa.int64()))
 
 
-def read(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+def name(shard: int, part: int) -> str:
+    return f"{shard:08d}-{part:06d}.sst"
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files, a block at a time."""
     prepare(spark)
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    starts, total = {}, 0
-    for shard, _, tokens in shards:
-        starts[shard] = total
-        total += tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                shard = Shard(content.as_py())
-                at, out = starts[int(path.as_py().rpartition("/")[2].partition(".")[0])], []
-                for key, ids in shard:
-                    out.append((id_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema.replace(" bigint", "").split(", "))
+            for number, part, at in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "start")), strict=True):
+                with opened(f"{folder}/{name(number, part)}") as shard:
+                    for i in range(len(shard.index)):
+                        out = []
+                        for key, ids in shard.entries(i):
+                            out.append((id_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                            at += len(ids)
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content").mapInArrow(run, schema)
+    found = manifest(spark, folder).select(["shard", "part", "start"])
+    return spark.createDataFrame(found).repartition(max(1, len(found))).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id, ids of the documents with some doc_ids, by Bloom filter and block index."""
+def lookup(spark: SparkSession, folder: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id, ids of the documents with some doc_ids: the manifest names the shards, of which Bloom filter, block index and one block are read."""
     prepare(spark)
+    found = manifest(spark, folder)
+    firsts, lasts = (found.column(c).to_pylist() for c in ("first_key", "last_key"))
+    files = [name(*x) for x in zip(found.column("shard").to_pylist(), found.column("part").to_pylist(), strict=True)]
+    asked = []
+    for d in dict.fromkeys(doc_ids):
+        k = key_of(d)[:9]
+        for i in range(bisect_left(lasts, k), len(files)):
+            if firsts[i][:9] > k:
+                break
+            asked.append((files[i], d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                shard = Shard(content.as_py())
-                found = [(d, ids.astype(np.int32)) for d in doc_ids for ids in shard.get(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            wanted: dict[str, list[int | None]] = {}
+            for file, d in zip(batch.column("file").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                wanted.setdefault(file, []).append(d)
+            for file, ids in wanted.items():
+                with opened(f"{folder}/{file}") as shard:
+                    got = [(d, x.astype(np.int32)) for d in ids for x in shard.get(d)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([i for _, i in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("content").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spark.createDataFrame(asked, "file string, doc_id bigint").repartition("file").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def round_trip(docs: DataFrame, vocab_path: str, end_id: int = 0) -> DataFrame:
     """Write docs as shards into the shared folder and read them back."""
     folder = scratch(docs.sparkSession, "sstable")
-    return read(docs.sparkSession, folder, write(docs, vocab_path, folder, end_id))
+    write(docs, vocab_path, folder, end_id)
+    return read(docs.sparkSession, folder)

@@ -25,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surprisal.llm.common import prepare, range_bounds, range_number
+from surprisal.llm.common import prepare, range_bounds, with_range
 from surprisal.llm.flatwords import _tables
 
 GRAM, WINDOW = 16, 32
 MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
-#: Rows of a bucket, about; buckets are a few megabytes of ordinary texts.
-BUCKET_ROWS = 4000
 NULL_ID = -(2**63)
 
 
@@ -105,16 +103,14 @@ def with_followers(docs: DataFrame) -> DataFrame:
     Rows with tail are copies of another bucket's first row and only follow.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = rows.withColumn("bucket", range_number("id", range_bounds(rows.select("id"), "id", BUCKET_ROWS)))
-    firsts = {r[0]: r[1] for r in placed.groupBy("bucket").agg(F.min("id")).collect()}
-    order = sorted(firsts)
-    before = dict(zip(order, [order[-1:], *([x] for x in order)], strict=False))
-    numbers = range(max(order, default=-1) + 1)
-    first = F.element_at(F.array(F.lit(None).cast("long"), *(F.lit(firsts.get(b)).cast("long") for b in numbers)), F.col("bucket") + 2)
-    to = F.element_at(F.array(F.lit(None).cast("int"), *(F.lit(before[b][0] if b in before else None).cast("int") for b in numbers)), F.col("bucket") + 2)
+    bounds = range_bounds(rows, "id", "text")
+    placed = with_range(rows, "id", bounds, "bucket")
+    firsts = sorted(map(tuple, with_range(rows.select("id"), "id", bounds, "bucket").groupBy("bucket").agg(F.min("id")).collect()))
+    turned = [(b, first, firsts[i - 1][0]) for i, (b, first) in enumerate(firsts)]
+    placed = placed.join(docs.sparkSession.createDataFrame(turned, "bucket int, first bigint, before int"), "bucket")
     own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("tail"))
-    copy = F.struct(to.alias("bucket"), F.lit(True).alias("tail"))
-    spread = placed.withColumn("to", F.explode(F.when(F.col("id") == first, F.array(own, copy)).otherwise(F.array(own))))
+    copy = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail"))
+    spread = placed.withColumn("to", F.explode(F.when(F.col("id") == F.col("first"), F.array(own, copy)).otherwise(F.array(own))))
     dealt = spread.select("to.bucket", "to.tail", "doc_id", "id", "text")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
 

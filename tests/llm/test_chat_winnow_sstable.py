@@ -5,13 +5,14 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 import public_tokenizers
 from conftest import DATA, ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from surprisal.llm import chat, sstable, winnow
+from surprisal.llm import chat, common, sstable, winnow
 from surprisal.llm.queries import CHAT_SQL, op5_chat
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -109,8 +110,8 @@ def test_winnow_report(spark, docs, monkeypatch):
     texts = [*ODD, "tie one", "tie two", "last é text of all"]
     ids = [*range(0, 2 * len(ODD), 2), 9, 9, 77]
     order = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0], x[1] or ""))
-    for rows in (3, 4000):
-        monkeypatch.setattr(winnow, "BUCKET_ROWS", rows)
+    for size in (2000, 24 << 20):
+        monkeypatch.setattr(common, "RANGE_BYTES", size)
         got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.fingerprint) for r in winnow.report(docs(texts, ids)).collect()))
         want = []
         for k, (i, t) in enumerate(order):
@@ -135,7 +136,7 @@ def test_shard():
         w.add(sstable.key_of(None), np.array([1], np.uint32))
         for i, ids in sorted(data.items()):
             w.add(sstable.key_of(i), ids)
-        shard = sstable.Shard(w.finish())
+        shard = sstable.Shard.of(w.finish())
         assert len(shard.index) > 3 and shard.n_docs == 401
         assert [sstable.id_of(k) for k, _ in shard] == [None, *sorted(data)]
         for i in range(-50, 60):
@@ -153,18 +154,68 @@ def test_sstable(spark, docs, monkeypatch):
         x = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((i, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
-    for rows in (4, 6000):
-        monkeypatch.setattr(sstable, "SHARD_ROWS", rows)
+    for ranged, shard in ((2000, 32 << 20), (24 << 20, 1000), (2000, 50), (24 << 20, 32 << 20)):
+        monkeypatch.setattr(common, "RANGE_BYTES", ranged)
+        monkeypatch.setattr(sstable, "SHARD_BYTES", shard)
         got = sorted(map(tuple, sstable.round_trip(docs(texts, ids), PATH).collect()), key=lambda r: r[1])
         assert got == want
     assert sstable.round_trip(docs([]), PATH).collect() == []
 
 
-def test_sstable_lookup(spark, docs):
-    from surprisal.llm.common import scratch
-
-    folder = scratch(spark, "lookup")
-    sstable.write(docs(["one", "two", "three"]), PATH, folder)
+def test_sstable_lookup(spark, docs, monkeypatch):
+    folder = common.scratch(spark, "lookup")
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 40)
+    texts = ["one", "two", "three", *(f"text {i} of many" for i in range(60)), "again", "again"]
+    ids = [0, 1, 2, *range(100, 160), 100, None]
+    sstable.write(docs(texts, ids), PATH, folder)
+    assert len(sstable.manifest(spark, folder)) > 5
     library = Tokenizer.from_file(PATH)
-    got = {r.doc_id: r.ids for r in sstable.lookup(spark, folder, [1, 2, 9]).collect()}
-    assert got == {1: [*library.encode("two").ids, 0], 2: [*library.encode("three").ids, 0]}
+    got = sorted(((r.doc_id, r.ids) for r in sstable.lookup(spark, folder, [1, 2, 9, 100, 159, None, 1]).collect()), key=str)
+    want = [(i, [*library.encode(t).ids, 0]) for i, t in zip(ids, texts, strict=True) if i in (1, 2, 9, 100, 159, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_a_lookup_reads_footer_filter_index_and_one_block():
+    r = random.Random(7)
+    w = sstable.Writer(2)
+    for i in range(3000):
+        w.add(sstable.key_of(2 * i), np.array(r.choices(range(50257), k=400), np.uint32))
+    raw, reads = w.finish(), []
+    fresh = lambda: sstable.Shard(lambda at, size: reads.append(size) or raw[at : at + size], len(raw))
+    shard = fresh()
+    assert len(shard.get(1000)) == 1
+    assert len(reads) == 4 and sum(reads) == sstable.FOOTER.size + shard.n_bloom + shard.n_index + reads[-1] < len(raw) / 20
+    absent = 0
+    for i in range(1, 600, 2):
+        reads.clear()
+        assert fresh().get(i) == []
+        absent += len(reads) == 2
+    assert absent > 280  # the filter answers without index and block
+
+
+def test_ranges_follow_bytes(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(common, "RANGE_BYTES", 500)
+    rows = docs(["x" * 50] * 3000, [i * i - 10**6 for i in range(3000)])
+    bounds = common.range_bounds(rows, "doc_id", "text")
+    assert 250 < len(bounds) < 300 and bounds == sorted(set(bounds))
+    found = common.with_range(rows, "doc_id", bounds, "b").collect()
+    assert all(r.b == sum(x <= r.doc_id for x in bounds) for r in found)
+    assert common.with_range(rows, "doc_id", bounds, "b").groupBy("b").count().agg(F.max("count")).first()[0] < 60
+    assert common.range_bounds(docs([]), "doc_id", "text") == []
+
+
+def test_no_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: "/warehouse" if "warehouse" in key else default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session) == "/warehouse/surprisal-checkpoints"
