@@ -5,31 +5,33 @@ window is WINDOW words of an item; an item with fewer is one window of its own l
 become numbers of the items' vocabulary, windows get a polynomial hash, hits in the sorted hash set
 are verified word by word.
 
-The broadcast is bounded: items are dealt into shards of SHARD_BYTES of text at most (an item is
-never cut, and a single one beyond that is an error), and each shard is a scan of its own. Usually
-there is one. Of several, the hits are joined per document before they are judged.
+The broadcast is bounded: repeated items count once, items are cut into overlapping pieces, and pieces
+dealt into shards of SHARD_BYTES of words at most, whatever the length of an item. One index is held at
+a time. A shard that is full takes some 200 MB in the driver and in each Python worker (measured, see the
+README). Usually there is one shard. Of several, each is a scan of its own, whose hits are written and
+joined per text before documents are judged.
 
 Defined results: a null text has no words and is clean; an item without words matches nothing; items
-with equal windows all count; repeated rows each get their result; a null item_id is not listed.
+with equal windows all count; repeated rows each get their result, repeated items count once; a null
+item_id is counted but not listed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surprisal.llm.common import map_batches, prepare
+from surprisal.llm.common import map_batches, materialize, prepare
 
 WINDOW, SHARE = 13, 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES, PIECE_WORDS = 16 << 20, 4096
 #: ASCII letters to lower case, all other ASCII but digits to blanks; bytes beyond ASCII stay.
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
@@ -48,46 +50,97 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Layer:
+    """Distinct windows of one length, of which no two have the same hash."""
+
+    hashes: np.ndarray
+    at: np.ndarray  # where a window's words lie in Index.flat
+    start: np.ndarray  # by window, where its items lie in items; one more at the end
+    items: np.ndarray
+
+
 @dataclass
 class Index:
-    """Windows of some items. sets: by window length the sorted hashes, and the items of each exact window."""
+    """Windows of some items: words by number, and layers by window length. Some 24 bytes a word, besides its vocabulary."""
 
+    names: list[int | None]
     vocab: dict[bytes, int] = field(default_factory=dict)
-    sets: dict[int, tuple[np.ndarray, dict[bytes, list[int]]]] = field(default_factory=dict)
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    layers: list[tuple[int, Layer]] = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], window: int = WINDOW) -> Index:
-        index, exact, hashes = cls(), defaultdict(lambda: defaultdict(list)), defaultdict(list)
-        for item, text in items:
-            ws = words(text)
-            if not ws:
-                continue
-            ids = np.array([index.vocab.setdefault(w, len(index.vocab)) for w in ws], np.int64)
-            n = min(window, len(ids))
-            hashes[n].append(window_hashes(ids, n))
-            for i in range(len(ids) - n + 1):
-                exact[n][ids[i : i + n].tobytes()].append(item)
-        index.sets = {n: (np.unique(np.concatenate(hashes[n])), dict(exact[n])) for n in exact}
+    def build(cls, items: Iterable[tuple[int | None, int, list[bytes]]]) -> Index:
+        """From pieces: item_id, window length, words."""
+        vocab, number, ids, sizes, lengths, owner = {}, {}, [], [], [], []
+        for item, n, ws in items:
+            owner.append(number.setdefault(item, len(number)))
+            ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in ws), np.int32, len(ws)))
+            sizes.append(len(ws))
+            lengths.append(n)
+        index = cls(list(number), vocab, np.concatenate([np.zeros(0, np.int32), *ids]))
+        sizes, lengths, owner = (np.array(x, np.int64) for x in (sizes, lengths, owner))
+        begin = np.cumsum(sizes) - sizes
+        for n in sorted(set(lengths.tolist())):
+            of = np.flatnonzero(lengths == n)
+            many = sizes[of] - n + 1
+            first = np.repeat(begin[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            index.layers += [(n, x) for x in layered(index.flat, first, np.repeat(owner[of], many), n)]
         return index
 
-    def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Word ranges (end exclusive) inside occurring windows, merged, and the items they belong to."""
         ids = np.fromiter(map(self.vocab.get, ws, (-1 for _ in ws)), np.int64, len(ws))
         spans, items = [], set()
         known = np.r_[0, np.cumsum(ids >= 0)]
-        for n, (hashes, exact) in self.sets.items():
+        for n, layer in self.layers:
             if len(ids) < n or not (full := known[n:] - known[:-n] == n).any():
                 continue
             at = np.flatnonzero(full)
             found = window_hashes(ids, n)[at]
-            at = at[np.isin(found, hashes)]
-            for i in at.tolist():
-                if (whose := exact.get(ids[i : i + n].tobytes())) is not None:
-                    spans.append((i, i + n))
-                    items.update(whose)
+            k = np.minimum(np.searchsorted(layer.hashes, found), len(layer.hashes) - 1)
+            same = layer.hashes[k] == found
+            at, k = at[same], k[same]
+            if len(at):
+                verified = equal(self.flat, layer.at[k], ids, at, n)
+                at, k = at[verified], np.unique(k[verified])
+                spans += [(i, i + n) for i in at.tolist()]
+                items.update(self.names[i] for x in k.tolist() for i in layer.items[layer.start[x] : layer.start[x + 1]].tolist())
         return merge(spans), items
 
 
+def equal(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether n numbers of a from each of i are those of b from each of j."""
+    out = np.ones(len(i), bool)
+    for k in range(n):
+        out &= a[i + k] == b[j + k]
+    return out
+
+
+def layered(flat: np.ndarray, at: np.ndarray, owner: np.ndarray, n: int) -> Iterator[Layer]:
+    """Layers of the windows that begin at some places, with their items; a second one only if different windows share a hash."""
+    while len(at):
+        hashes = window_hashes_at(flat, at, n)
+        order = np.lexsort((owner, hashes))
+        hashes, at, owner = hashes[order], at[order], owner[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        lead = np.repeat(at[first], np.diff(np.r_[first, len(at)]))
+        same = equal(flat, at, flat, lead, n)
+        # An item's repeats of a window count once.
+        keep = same & np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]
+        keep[first] = True
+        group = np.cumsum(np.r_[False, hashes[1:] != hashes[:-1]])[keep]
+        yield Layer(hashes[first], at[first], np.searchsorted(group, np.arange(len(first) + 1)), owner[keep])
+        at, owner = at[~same], owner[~same]
+
+
+def window_hashes_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        out = out * BASE + ids[at + j].astype(np.uint64)
+    return out
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges joined where they touch or overlap."""
     out: list[list[int]] = []
@@ -99,37 +152,41 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def shards(benchmark: DataFrame) -> int:
-    """How many shards keep the items of each within SHARD_BYTES."""
-    total, longest = benchmark.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    if (longest or 0) > SHARD_BYTES:
-        raise ValueError(f"a benchmark item of {longest} bytes is beyond the broadcast bound of {SHARD_BYTES}")
-    n = 1
-    while True:
-        parts = benchmark.groupBy(_shard(n)).agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0]
-        if (parts or 0) <= SHARD_BYTES:
-            return n
-        n = max(n + 1, -(-total // SHARD_BYTES), n * 3 // 2)
+def pieces(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id, part, n (the window length) and words of the items: runs of PIECE_WORDS windows at most, so that every window is in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text").to_pylist(), strict=True):
+                ws = words(text)
+                n = min(window, len(ws))
+                for part, i in enumerate(range(0, len(ws) - n + 1, PIECE_WORDS) if n else ()):
+                    made = b" ".join(ws[i : i + PIECE_WORDS + n - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()], pa.int64()), pa.array([part], pa.int64()), pa.array([n], pa.int32()), pa.array([made], pa.binary())], ["item_id", "part", "n", "words"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(run, "item_id bigint, part bigint, n int, words binary")
 
 
-def _shard(n: int) -> Column:
-    return F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+def shards(made: DataFrame) -> int:
+    """How many shards keep the pieces of each within SHARD_BYTES: pieces are small, so dealing them by hash fills shards alike."""
+    total = made.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    return max(1, -(-total * 5 // (4 * SHARD_BYTES)))
 
 
-def indexes(benchmark: DataFrame, window: int = WINDOW) -> list[Index]:
-    """The index of each shard."""
-    items = benchmark.select("item_id", "text")
-    n = shards(items)
-    return [Index.build([(r[0], r[1]) for r in items.where(_shard(n) == k).toLocalIterator()], window) for k in range(n)]
+def index_of(made: DataFrame, n: int, k: int) -> Index:
+    """The index of one shard of n."""
+    rows = made.where(F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(n)) == k) if n > 1 else made
+    return Index.build((r[0], r[1], bytes(r[2]).split(b" ")) for r in rows.select("item_id", "n", "words").toLocalIterator())
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, schema: str, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch]) -> DataFrame:
     """finish() gets each batch of docs and, for every row, its words, hit ranges and items."""
     spark = prepare(docs.sparkSession)
-    made = indexes(benchmark)
-    if len(made) > 1:
-        return _scan_shards(docs, made, schema, finish)
-    held = spark.sparkContext.broadcast(made[0])
+    made = materialize(pieces(benchmark), "benchmark")
+    n = shards(made)
+    if n > 1:
+        return _scan_shards(docs, made, n, schema, finish)
+    held = spark.sparkContext.broadcast(index_of(made, 1, 0))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         split = [words(t) for t in batch.column("text").to_pylist()]
@@ -138,12 +195,11 @@ def _scan(docs: DataFrame, benchmark: DataFrame, schema: str, finish: Callable[[
     return map_batches(docs, schema, step)
 
 
-def _scan_shards(docs: DataFrame, made: list[Index], schema: str, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch]) -> DataFrame:
-    """Several shards: one scan each, their hits per distinct text joined to the documents."""
-    spark = docs.sparkSession
-    parts = None
-    for index in made:
-        held = spark.sparkContext.broadcast(index)
+def _scan_shards(docs: DataFrame, made: DataFrame, n: int, schema: str, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch]) -> DataFrame:
+    """Several shards: one scan each, one index at a time; their hits per distinct text are written, then joined to the documents."""
+    spark, parts = docs.sparkSession, None
+    for k in range(n):
+        held = spark.sparkContext.broadcast(index_of(made, n, k))
 
         def step(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:  # noqa: ANN001
             out = []
@@ -153,7 +209,8 @@ def _scan_shards(docs: DataFrame, made: list[Index], schema: str, finish: Callab
                     out.append((th, np.array(spans, "<i8").tobytes(), "\x00".join(map(str, items))))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))], ["th", "spans", "items"])
 
-        one = map_batches(docs.select(F.sha2("text", 256).alias("th"), "text"), "th string, spans binary, items string", step).dropDuplicates(["th"])
+        one = materialize(map_batches(docs.select(F.sha2("text", 256).alias("th"), "text"), "th string, spans binary, items string", step).dropDuplicates(["th"]), "hits")
+        held.destroy()
         parts = one if parts is None else parts.union(one)
     joined = parts.groupBy("th").agg(F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items")).withColumnRenamed("th", "__text_sha")
     full = docs.withColumn("__text_sha", F.sha2("text", 256)).join(joined, "__text_sha", "left").select(*docs.columns, "__spans", "__items")

@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 from conftest import DATA, ODD
 
 from surprisal.llm import decontam
@@ -57,11 +58,43 @@ def test_shards(spark, docs, monkeypatch):
     texts, items = case()
     monkeypatch.setattr(decontam, "SHARD_BYTES", 64)
     frame, bench = docs(list(texts.values()), list(texts)), spark.createDataFrame(items, ITEMS)
-    assert decontam.shards(bench) > 1
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 3)
+    assert decontam.shards(decontam.pieces(bench)) > 1
     got = {r[0]: tuple(r)[1:] for r in decontam.report(frame, bench).collect()}
     assert got == brute(texts, items)
 
 
+def test_repeated_items_and_one_beyond_the_bound(spark, docs, monkeypatch):
+    """Repeated rows of more text than a shard holds, and an item of 40 MB."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    huge = " ".join(f"h{i * 7919 % 500_000:x}" for i in range(6_300_000))
+    assert len(huge) > 40 << 20
+    cut = " ".join(huge.split(" ")[3_000_000:3_000_020])
+    texts = [passage + " x" * 40, "y " * 60 + cut, "z " * 500 + "p3 p4 p5", None]
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 4000)
+    repeated = spark.range(3000).selectExpr("5 AS item_id", f"'{passage}' AS text")
+    assert decontam.shards(decontam.pieces(repeated)) == 1
+    got = {r[0]: tuple(r)[1:] for r in decontam.report(docs(texts), repeated).collect()}
+    assert got == brute(dict(enumerate(texts)), [(5, passage)])
+    monkeypatch.undo()
+    items = spark.createDataFrame([(5, passage), (6, huge)], ITEMS)
+    assert decontam.shards(decontam.pieces(items)) > 2
+    got = {r[0]: tuple(r)[1:] for r in decontam.report(docs(texts), items).collect()}
+    assert got == brute(dict(enumerate(texts)), [(5, passage), (6, cut)])
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Different windows that share a hash are told apart, as are a window's items."""
+    monkeypatch.setattr(decontam, "BASE", np.uint64(0))
+    texts, items = case()
+    index = decontam.Index.build((i, min(13, len(ws)), ws) for i, t in items if (ws := decontam.words(t)))
+    assert len(index.layers) > len({n for n, _ in index.layers})
+    want = brute(texts, items)
+    for d, t in texts.items():
+        spans, who = index.hits(decontam.words(t))
+        assert (sum(b - a for a, b in spans), len(who)) == want[d][1:3]
+
+
 def test_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -20,7 +20,7 @@ def test_pipeline_by_brute_force(spark):
     texts = {i: t for i, t in texts.items() if i in stays}
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     hits = brute_hits(texts, items)
-    index = decontam.Index.build(items)
+    index = decontam.Index.build((i, min(13, len(ws)), ws) for i, t in items if (ws := decontam.words(t)))
     texts = {i: decontam.cut(t, index.hits(decontam.words(t))[0]) for i, t in texts.items() if not hits[i][-1]}
     masked = {r.doc_id: r.text for r in corpus_pipeline.mask_personal_data(spark, spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), DATA).collect()}
     coder = bpe.load(vocabulary())
