@@ -1,9 +1,11 @@
 """Personal data in texts, with DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (part range of addresses, Luhn for cards,
-digit counts for phones, mod-97 for account numbers, letters and digits in secrets), and words just
-before a span adjust its score. Spans of the four base kinds always stay once confirmed; spans of the
-added kinds need a score of MIN_SCORE.
+digit counts for phones, mod-97 for account numbers, letters and digits in secrets), and words within
+CONTEXT_CHARS before or after a span adjust its score: words of its kind raise it, words of other
+things (a commit, a part number) lower it, and so do known prefixes of keys. Spans of the four base
+kinds always stay once confirmed; spans of the added kinds stay with a score of MIN_SCORE, so a bare
+run of letters and digits is no secret, and is one behind `API_KEY=` or before `is my password`.
 
 The patterns are linear-time forms of the plain ones: a run of characters that can only be entered at
 its beginning is not tried again from its middle, and deterministic repeats are possessive, which
@@ -37,19 +39,31 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?<=(?:token|secret|passw(?:or)?d|api.?key)[\x20\"']{0,3}[=:][\x20\"']{0,3})[A-Za-z0-9_+/=-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+",
 }
-#: A cheap necessary condition of each pattern.
+#: A cheap necessary condition of each pattern; a secret needs a word or a prefix to reach MIN_SCORE.
 GATES = {"email": "@", "phone": "+"}
-SECRET_GATE = r"(?:token|secret|passw(?:or)?d|api.?key)[\x20\"']{0,3}[=:]"
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "secret": 0.4}
+PREFIX = r"^(?:AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|AIza[0-9A-Za-z_-]{30}|gh[opsu]_[0-9A-Za-z]{30}|glpat-|sk-[0-9A-Za-z_-]{20}|xox[abprs]-|eyJ[0-9A-Za-z_-]{12})"
+SECRET_WORDS = r"token|secret|passw|pwd|api.?key|access.?key|credential|bearer"
+SECRET_GATE = rf"(?i:{SECRET_WORDS})|AKIA|ASIA|AIza|gh[opsu]_|glpat-|sk-|xox[abprs]-|eyJ"
+#: Of each kind: the score without context; what words of the kind add; what words of other things take away.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.6, "secret": 0.3}
+RAISE, LOWER_BY, KNOWN = 0.3, 0.3, 0.5
 CONTEXT = {
     "email": r"mail|contact|write",
     "ip": r"\bip\b|address|host|server",
     "card": r"card|visa|master|amex|payment",
-    "phone": r"phone|tel|call|mobile|fax",
-    "iban": r"iban|account|bank",
-    "secret": r"token|secret|passw|key",
+    "phone": r"phone|\btel|call|mobile|fax",
+    "iban": r"iban|account|bank|konto|compte|cuenta",
+    "secret": SECRET_WORDS,
+}
+OTHER = {
+    "email": r"example\.",
+    "ip": r"version|release|section",
+    "card": r"order|serial|isbn|tracking",
+    "phone": r"order|serial|isbn",
+    "iban": r"serial|part.?n|sku|model|isbn",
+    "secret": r"commit|checksum|digest|sha-?(?:1|256)|md5|uuid|https?:",
 }
 
 
@@ -79,21 +93,24 @@ def _valid(kind: str, x: Column) -> Column:
     if kind == "iban":
         return F.length(F.regexp_replace(x, " ", "")).between(15, 34) & (_mod97(x) == 1)
     if kind == "secret":
-        return x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+        return x.rlike("[0-9][^0-9]*[0-9]") & x.rlike("[A-Za-z]")
     return F.lit(True)
 
 
 def _spans(kind: str, gaps: Column, matches: Column) -> Column:
     """array<struct<s, e, kind, score>> of confirmed matches; needs at least one match."""
     rank = KINDS.index(kind)
-    pieces = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(matches)),
-        matches,
-        lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m"), m.alias("x"), F.lower(F.substring(F.right(g, F.lit(CONTEXT_CHARS)), 1, CONTEXT_CHARS)).alias("before")),
+    before = F.concat(F.array(F.lit("")), matches)
+    told = F.zip_with(  # what stands before a match (another match of the kind included), and after it
+        F.slice(F.zip_with(before, gaps, lambda m, g: F.concat(F.right(m, F.lit(CONTEXT_CHARS)), F.right(g, F.lit(CONTEXT_CHARS)))), F.lit(1), F.size(matches)),
+        F.slice(gaps, F.lit(2), F.size(matches)),
+        lambda b, g: F.lower(F.concat(F.right(b, F.lit(CONTEXT_CHARS)), F.lit("\n"), F.substring(g, 1, CONTEXT_CHARS))),
     )
+    sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m"), m.alias("x")))
+    pieces = F.zip_with(sized, told, lambda p, t: F.struct(p["g"].alias("g"), p["m"].alias("m"), p["x"].alias("x"), t.alias("near")))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, BLOCK))
-    item = lambda p, at: F.struct((at + p["g"]).alias("s"), F.lit(rank).alias("k"), (at + p["g"] + p["m"]).alias("e"), p["x"].alias("x"), p["before"].alias("before"))
-    empty = F.expr("cast(array() AS array<struct<s: bigint, k: int, e: bigint, x: string, before: string>>)")
+    item = lambda p, at: F.struct((at + p["g"]).alias("s"), F.lit(rank).alias("k"), (at + p["g"] + p["m"]).alias("e"), p["x"].alias("x"), p["near"].alias("near"))
+    empty = F.expr("cast(array() AS array<struct<s: bigint, k: int, e: bigint, x: string, near: string>>)")
     place = lambda block, base: F.aggregate(
         block,
         F.struct(base.alias("pos"), empty.alias("out")),
@@ -108,7 +125,9 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
         lambda a, b: F.struct((a["pos"] + size(b)).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")),
         lambda a: F.flatten(F.zip_with(blocks, a["out"], place)),
     )
-    score = lambda p: F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(p["before"].rlike(CONTEXT[kind]), 0.3).otherwise(0.0))
+    raised = lambda p: F.when(p["near"].rlike(CONTEXT[kind]), RAISE).otherwise(0.0) - F.when(p["near"].rlike(OTHER[kind]), LOWER_BY).otherwise(0.0)
+    known = lambda p: F.when(p["x"].rlike(PREFIX), KNOWN).otherwise(0.0) if kind == "secret" else F.lit(0.0)
+    score = lambda p: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(PRIOR[kind]) + raised(p) + known(p))), 2)
     keep = lambda p: _valid(kind, p["x"]) & (F.lit(True) if kind in BASE else score(p) >= MIN_SCORE)
     return F.transform(F.filter(placed, keep), lambda p: F.struct(p["s"], p["k"], p["e"], score(p).alias("score")))
 
@@ -141,7 +160,7 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of base spans, a digest of them, and all spans as text."""
+    """One row per document: counts of base spans, a digest of them, all spans as text, and their scores in the same order."""
     base = F.filter(SPANS, lambda p: p["k"] < len(BASE))
     count = lambda i: F.size(F.filter(SPANS, lambda p: p["k"] == i)).cast("long")
     return find(docs.select("doc_id", "text")).select(
@@ -149,6 +168,7 @@ def report(docs: DataFrame) -> DataFrame:
         *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)),
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
         _listed(F.col(SPANS)).alias("spans"),
+        F.array_join(F.transform(SPANS, lambda p: p["score"].cast("string")), ",").alias("scores"),
     )
 
 
