@@ -2,8 +2,12 @@
 
 A page becomes a sequence of leaf blocks: stretches of text between block-level tags, each with the
 path of open block elements above it. A bidirectional LSTM, in numpy, reads one vector per leaf (hashed
-tag path with class and id words, hashed words of the text, and a few counts) and labels each block as
-article or not, from the whole document's context. Its weights (html_weights.npz) come from train_html.
+tag path with class and id words, hashed words of the whole text, and a few counts, such as the share
+of the page's text in the elements around it) and labels each block as article or not, from the whole
+document's context. Its weights (html_weights.npz) come from train_html.
+
+Elements know their parent and the sum of their path's vectors, so that a page costs time and memory in
+proportion to its length, however deep its elements lie.
 
 Text of scripts, styles, heads, forms' controls and comments of the markup never becomes a block.
 White space inside a block, `<br>` included, becomes one space; character references are decoded.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 from pathlib import Path
 
@@ -26,17 +31,17 @@ from pyspark.sql import DataFrame
 
 from surprisal.llm.common import map_batches, prepare
 
-PATH_SIZE, WORD_SIZE, COUNTS, HIDDEN = 96, 48, 8, 24
+PATH_SIZE, WORD_SIZE, COUNTS, UNITS = 96, 48, 12, 24
 INPUT = PATH_SIZE + WORD_SIZE + COUNTS
-WORDS_READ = 64
 #: Elements whose content is no text of the page: those whose content is no markup either, so that an open
 #: one reaches to the end of the page, and others. Then those that start a block of their own, those that
 #: never close, and those that end an open element of the same kind (fixed values of HTML).
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}
-HIDDEN = {"svg", "select", "button", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
+RAW = {"script", "style", "textarea", "title"}
+HIDDEN = {"noscript", "template", "iframe", "svg", "select", "button", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CONTAINERS = set("ul ol table dl div article section td body blockquote".split())
 ENDS_P = BLOCK - {"html", "body", "head", "p"}
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ANY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -46,13 +51,57 @@ _WORD = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"\w+")
 
 
+class Node:
+    """An open element: its parent, the hashed words of its path, and the text in blocks just below it."""
+
+    __slots__ = ("depth", "fresh", "mass", "parent", "tag", "vector", "whole")
+
+    def __init__(self, parent: Node | None, tag: str, fresh: list[str]) -> None:
+        self.parent, self.tag, self.fresh, self.mass, self.whole = parent, tag, fresh, 0, None
+        self.depth = parent.depth + len(fresh) if parent else 0
+        self.vector = parent.vector.copy() if parent else np.zeros(PATH_SIZE, np.float32)
+        for word in fresh:
+            if word not in ("html", "body"):
+                i, sign = place(word, PATH_SIZE)
+                self.vector[i] += sign
+
+    def path_vector(self) -> np.ndarray:
+        """The words of the path, its last tag and its last three."""
+        if self.whole is None:
+            self.whole = self.vector.copy()
+            up = self.parent or self
+            for word in (f"last {self.tag}", f"three {(up.parent or up).tag} {up.tag} {self.tag}"):
+                i, sign = place(word, PATH_SIZE)
+                self.whole[i] += sign
+        return self.whole
+
+    def path(self) -> tuple[str, ...]:
+        """The tags from the page's root on, each with its names behind it where they are new on the path."""
+        out, node = [], self
+        while node.parent:
+            out += [w for w in reversed(node.fresh) if "." in w] + [node.tag]
+            node = node.parent
+        return tuple(reversed(out))
+
+
 class Leaf:
-    """A block: its text, the path of open elements, and how much of it is links."""
+    """A block: its text, the innermost open element, and how much of it is links."""
 
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: float) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, node: Node, text: str, linked: float) -> None:
+        self.node, self.text, self.linked = node, text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.node.path()
+
+
+@lru_cache(200_000)
+def place(word: str, size: int) -> tuple[int, float]:
+    """Where a word falls in a hashed vector, and its sign."""
+    h = xxhash.xxh64_intdigest(word, 9)
+    return (h >> 1) % size, 1.0 if h & 1 else -1.0
 
 
 def hidden_end(page: str, at: int, name: str) -> int:
@@ -82,7 +131,9 @@ def hidden_end(page: str, at: int, name: str) -> int:
 def leaves(page: str) -> list[Leaf]:
     """The page's blocks in order; blocks without text are left out."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Node(None, "", [])
+    stack: list[Node] = []
+    tags, words = Counter(), Counter()
     parts: list[str] = []
     link_depth, link_chars, chars = 0, 0, 0
     n, at, lower = len(page), 0, None
@@ -91,11 +142,28 @@ def leaves(page: str) -> list[Leaf]:
         nonlocal link_chars, chars
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(t == "head" for t, _ in stack):
-                out.append(Leaf(tuple(w for t, ws in stack for w in (t, *ws)), text, link_chars / max(chars, 1)))
+            if text and not tags["head"]:
+                node = stack[-1] if stack else root
+                out.append(Leaf(node, text, link_chars / max(chars, 1)))
+                for _ in range(2):
+                    node = node.parent or node
+                    node.mass += len(text)
             parts.clear()
         link_chars = chars = 0
 
+    def opens(name: str, rest: str) -> None:
+        said = () if not rest else tuple(w for x in _NAMES.finditer(rest) for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower()))
+        fresh = [w for w in dict.fromkeys([name, *(f"{name}.{w}" for w in said), *said]) if not words[w]]
+        words.update(fresh)
+        tags[name] += 1
+        stack.append(Node(stack[-1] if stack else root, name, fresh))
+
+    def closes(down_to: int) -> None:
+        while len(stack) > down_to:
+            node = stack.pop()
+            tags[node.tag] -= 1
+            words.subtract(node.fresh)
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -144,62 +212,44 @@ def leaves(page: str) -> list[Leaf]:
         elif name in BLOCK:
             flush()
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if tags[name]:
+                    closes(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == name))
                 link_depth = 0
                 continue
             ends = SAME.get(name, set()) | ({"p"} if name in ENDS_P else set())
-            if name in ("body", "html"):
-                if name == "body":
-                    stack[:] = [s for s in stack if s[0] != "head"]
-                elif stack:
-                    continue
+            if name == "body" and tags["head"]:
+                closes(next(k for k, s in enumerate(stack) if s.tag == "head"))
+            elif name == "html" and stack:
+                continue
             # An open element of the same kind ends, unless another container has been opened within.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
+            for k in range(len(stack) - 1, -1, -1) if any(tags[t] for t in ends) else ():
+                if stack[k].tag in ends:
+                    closes(k)
                     break
-                if stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td", "body", "blockquote"):
+                if stack[k].tag in CONTAINERS:
                     break
             if name not in VOID and not m[3].endswith("/"):
-                words = () if not m[3] else tuple(f"{name}.{w}" for x in _NAMES.finditer(m[3]) for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower()))
-                stack.append((name, words))
+                opens(name, m[3])
     flush()
     return out
 
 
-@lru_cache(200_000)
-def place(word: str, size: int) -> tuple[int, float]:
-    """Where a word falls in a hashed vector, and its sign."""
-    h = xxhash.xxh64_intdigest(word, 9)
-    return (h >> 1) % size, 1.0 if h & 1 else -1.0
-
-
-@lru_cache(50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tags and names on the path, the last tag and the last three as well."""
-    out = np.zeros(PATH_SIZE, np.float32)
-    tags = [p for p in path if "." not in p]
-    for word in {*path, *(p.partition(".")[2] for p in path if "." in p), f"last {tags[-1] if tags else ''}", f"three {' '.join(tags[-3:])}"} - {"html", "body"}:
-        i, sign = place(word, PATH_SIZE)
-        out[i] += sign
-    return out
-
-
 def features(page: list[Leaf]) -> np.ndarray:
     """One row per leaf."""
     out = np.zeros((len(page), INPUT), np.float32)
+    total = sum(len(leaf.text) for leaf in page)
     for i, leaf in enumerate(page):
-        row, words = out[i], _TOKEN.findall(leaf.text.lower()[: 12 * WORDS_READ])[:WORDS_READ]
-        row[:PATH_SIZE] = path_vector(leaf.path)
+        row, words = out[i], _TOKEN.findall(leaf.text.lower())
+        row[:PATH_SIZE] = leaf.node.path_vector()
         for w in set(words):
             k, sign = place(w, WORD_SIZE)
             row[PATH_SIZE + k] += sign
         row[PATH_SIZE : PATH_SIZE + WORD_SIZE] *= 1 / max(1.0, len(words)) ** 0.5
-        n = len(leaf.text)
-        row[-COUNTS:] = np.log1p(n) / 5, leaf.linked, n < 25, n > 200, i / len(page), leaf.text[-1] in ".!?…", np.log1p(len(leaf.path)) / 3, "©" in leaf.text
+        n, node = len(leaf.text), leaf.node
+        up = node.parent or node
+        over = up.parent or up
+        same = [0 <= j < len(page) and (page[j].node.parent or page[j].node) is up for j in (i - 1, i + 1)]
+        row[-COUNTS:] = np.log1p(n) / 5, leaf.linked, n < 25, n > 200, i / len(page), leaf.text[-1] in ".!?…", np.log1p(node.depth) / 3, "©" in leaf.text, up.mass / total, over.mass / total, *same
     return out
 
 

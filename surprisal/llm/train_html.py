@@ -1,21 +1,26 @@
 """Train the block labeller of html_extract on invented pages: python -m surprisal.llm.train_html
 
-Pages are put together from parts of known kind (articles in several markups; menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments), in several languages' letters, with
-markup as loose as pages have it. The written weights are a few tens of kilobytes.
+Pages are put together from parts of known kind (articles; menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments), in several languages' letters, with markup as loose as pages have it.
+Wrappers and kinds are crossed: an article may stand in any container or in none, and every other part
+loses its telling tags and classes in PLAIN of all pages, so that what a block says, how long it is and
+what stands around it decide, not the name of a tag. The written weights are a few tens of kilobytes.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import sys
 from pathlib import Path
 
 import numpy as np
 
-from surprisal.llm.html_extract import HIDDEN, INPUT, features, leaves, reverse, run_lstm
+from surprisal.llm.html_extract import INPUT, UNITS, features, leaves, reverse, run_lstm
 
 MARK = "\x02"
+#: The part of pages whose other parts have no telling markup.
+PLAIN = 0.4
 SYLLABLES = ["the", "an", "er", "ti", "on", "in", "es", "qu", "la", "de", "ein", "sch", "ung", "ñ", "ó", "é", "è", "ou", "ra", "do", "ver", "keit", "eau", "ment", "ing", "st", "ко", "на", "ly", "ble"]
 MENU = ["Home", "About", "Contact", "News", "Login", "Shop", "Impressum", "Inicio", "Accueil", "Kontakt", "Archive", "Next", "Previous", "Tags", "RSS", "Search"]
 NOTICE = ["We use cookies", "Subscribe to our newsletter", "Accept all", "Sign up now", "Your privacy matters", "Please enable JavaScript", "Advertisement", "Sponsored", "Free shipping today"]
@@ -26,7 +31,7 @@ class Pages:
     """Invented pages; every word of an article carries MARK, which is taken out again with the label."""
 
     def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+        self.r, self.plain = random.Random(seed), 0
 
     def word(self) -> str:
         return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4)))
@@ -53,7 +58,7 @@ class Pages:
         if r.random() < 0.85:
             out.append(f"<h1>{self.good(self.words(1, 12))}</h1>")
         if r.random() < 0.15:
-            out.append(self.advert())
+            out.append(self.worn(self.advert()))
         for _ in range(r.choice([1, 1, 2, 4, 8, 15, 30])):
             kind = r.random()
             inner = self.good(self.words(1, long))
@@ -77,13 +82,31 @@ class Pages:
                 out.append(f"<pre>{inner}</pre>")
         body = "".join(out)
         if r.random() < 0.08:
-            body += self.comments()
-        wrap = r.random()
-        if wrap < 0.62:
+            body += self.worn(self.comments())
+        kind = r.random()
+        if kind < 0.4:
             return f"<article>{body}</article>"
-        if wrap < 0.74:
+        if kind < 0.5:
             return f"<main>{body}</main>"
-        return f'<div class="{r.choice(["content", "post", "entry-content", "article-body", "story", "main-text", "post-content"])}">{body}</div>'
+        if kind < 0.62:
+            return f"<section>{body}</section>"
+        if kind < 0.8:
+            return f"<div>{body}</div>"
+        if kind < 0.84:
+            return f"<table><tr><td>{body}</td></tr></table>"
+        if kind < 0.88:
+            return body
+        return f'<div class="{r.choice(["content", "post", "entry-content", "article-body", "story", "main-text", "post-content", self.word()])}">{body}</div>'
+
+    def worn(self, part: str) -> str:
+        """A part of the page as it is, or without its telling tags and classes."""
+        if not self.plain:
+            return part
+        bare = re.sub(r"<(/?)(?:nav|header|footer|aside|section|form)\b[^>]*>", r"<\1div>", part)
+        bare = re.sub(r'<div (?:class|id)="[^"]*"', lambda _: f'<div class="{self.word()}"' if self.plain == 2 else "<div", bare)
+        if self.r.random() < 0.5:
+            bare = re.sub(r"<(/?)(?:ul|li)>", r"<\1div>", bare)
+        return bare
 
     def menu(self) -> str:
         r = self.r
@@ -127,9 +150,10 @@ class Pages:
         some = [self.header, self.notice, self.sidebar, self.form, self.advert, self.menu]
         before += r.sample(some, r.choice([0, 0, 1, 2]))
         after = r.sample([self.comments, self.sidebar, self.advert, self.form, self.notice, self.menu], r.choice([0, 0, 0, 1, 2]))
-        parts = [f() for f in before] + [self.article()] + [f() for f in after]
+        self.plain = 0 if r.random() > PLAIN else r.choice([1, 1, 2])
+        parts = [self.worn(f()) for f in before] + [self.article()] + [self.worn(f()) for f in after]
         if r.random() < 0.85:
-            parts.append(self.footer())
+            parts.append(self.worn(self.footer()))
         head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.words(1, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
         return head + "".join(parts)
 
@@ -173,9 +197,9 @@ def train(count: int = 4000, rounds: int = 10, size: int = 32, rate: float = 0.0
     r = np.random.default_rng(seed)
     data = examples(seed, count)
     draw = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    w = {"wf": draw(INPUT, 4 * HIDDEN), "uf": draw(HIDDEN, 4 * HIDDEN), "bf": np.zeros(4 * HIDDEN, np.float32), "wb": draw(INPUT, 4 * HIDDEN), "ub": draw(HIDDEN, 4 * HIDDEN), "bb": np.zeros(4 * HIDDEN, np.float32), "vf": draw(HIDDEN, 1), "vb": draw(HIDDEN, 1), "vx": np.zeros((INPUT, 1), np.float32), "c": np.zeros(1, np.float32)}
+    w = {"wf": draw(INPUT, 4 * UNITS), "uf": draw(UNITS, 4 * UNITS), "bf": np.zeros(4 * UNITS, np.float32), "wb": draw(INPUT, 4 * UNITS), "ub": draw(UNITS, 4 * UNITS), "bb": np.zeros(4 * UNITS, np.float32), "vf": draw(UNITS, 1), "vb": draw(UNITS, 1), "vx": np.zeros((INPUT, 1), np.float32), "c": np.zeros(1, np.float32)}
     for b in ("bf", "bb"):
-        w[b][HIDDEN : 2 * HIDDEN] = 1
+        w[b][UNITS : 2 * UNITS] = 1
     mean, square, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for turn in range(rounds):
         order = sorted(r.permutation(len(data)).tolist(), key=lambda i: -len(data[i][1]) + r.random() * 6)
