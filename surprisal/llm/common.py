@@ -5,7 +5,9 @@ Conventions of every operator in this subpackage:
 * a null text counts as the empty text unless the operator says otherwise;
 * repeated rows stay repeated rows, each with its own result;
 * only the columns named by the operator are read, so extra columns never clash;
-* an empty table gives an empty result with the same schema.
+* an empty table gives an empty result with the same schema;
+* scratch tables lie below the shared folder, in a folder of the application. What later plans do not
+  read is deleted as soon as may be; what a returned DataFrame reads stays until `discard(spark)`.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from surprisal.session import ship
 ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 
 
+#: Scratch paths made and not yet deleted, in order.
+MADE: list[str] = []
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches, so that a batch of long texts fits a Python worker; let workers find this package."""
     ship(spark)
@@ -48,9 +54,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, with the scheme of its file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/surprisal/{label}-{uuid.uuid4().hex}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/surprisal/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}")
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    whole = whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    MADE.append(whole)
+    return whole
 
 
 def materialize(df: DataFrame, label: str, partitions_by: list[str] | None = None) -> DataFrame:
@@ -63,11 +71,15 @@ def materialize(df: DataFrame, label: str, partitions_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch paths made since then, but for those that keep reads, through Hadoop's file system layer."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    read = [f for df in keep for f in df.inputFiles()]
+    for path in MADE[since:]:
+        if not any(f.removeprefix("file://").startswith(path.removeprefix("file://")) for f in read):
+            p = hadoop.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            MADE.remove(path)
 
 
 def crc_mod(column: Column, divisor: int) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surprisal.llm.common import materialize
+from surprisal.llm.common import MADE, discard, materialize
 
 #: Heavy keys number fewer than this, whatever the input, since each has over this part of the rows.
 HEAVY_MOST = 1000
@@ -52,7 +52,10 @@ def _open(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b: bigint); root is the smallest node that it reaches."""
+    spark = edges.sparkSession
     now = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
     while _open(now):
+        begun = len(MADE)
         now = materialize(_small_star(materialize(_large_star(now).distinct(), "stars")).distinct(), "edges")
+        discard(spark, begun - 1, (now,))
     return now.selectExpr("a AS node", "b AS root").union(now.selectExpr("b AS node", "b AS root").distinct())

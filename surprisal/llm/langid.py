@@ -7,7 +7,8 @@ profile lacks counting as the profile's length. The nearest profile wins, the sm
 equals. The score is the winner's share of all likenesses.
 
 Profiles are learned from all grams of a bounded sample: about SAMPLE documents of each language
-(every one where there are fewer), chosen by a hash of doc_id, among rows that are not held out.
+(every one where there are fewer), chosen by a hash of doc_id, among rows that are not held out. The
+driver and each worker hold PROFILE numbers a language, whatever the number of documents.
 
 Defined results: a null text and one without letters are `und` with score 0; so is everything where
 no language could be learned; repeated rows each get their result.
@@ -28,7 +29,6 @@ from surprisal.llm.flatwords import LETTER, _tables
 SAMPLE, LONGEST, PROFILE, DOCUMENT = 4000, 5, 500, 300
 BLANK = 0
 MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
-LANGUAGES_MOST = 2000
 
 
 @lru_cache(1)
@@ -106,13 +106,8 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """text, lang of about size documents of each language."""
     known = docs.where(F.col("lang").isNotNull() & ~is_held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST + 1).collect()
-    if len(counts) > LANGUAGES_MOST:
-        raise ValueError(f"more than {LANGUAGES_MOST} languages")
-    if not counts:
-        return known.select("text", "lang")
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, size / r["count"]))))
-    return known.where(F.pmod(hash_order(F.col("doc_id")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(size)) / F.count("*")).alias("__share"))
+    return known.join(F.broadcast(share), "lang").where(F.pmod(hash_order(F.col("doc_id")), F.lit(1 << 20)) < F.col("__share") * (1 << 20)).select("text", "lang")
 
 
 def learn(docs: DataFrame, size: int = SAMPLE) -> Profiles:

@@ -9,7 +9,9 @@ grams. Scores are the margins through a sigmoid that is fit on a fifth of the sa
 have not seen.
 
 The classifier is fit on a bounded sample of labelled rows: SAMPLE of each class, taken in a
-reproducible pseudo-random order of doc_id. Scoring covers every row and whole texts.
+reproducible pseudo-random order of doc_id, less those of over TEXT_BYTES, so that the driver holds at
+most 0.8 MB for each of 2 * SAMPLE rows (ordinary texts take some 10 KB). Scoring covers every row and
+whole texts.
 
 Defined results: a null text is the empty text; without labelled rows every score is 0.5, and with
 a single class about 1 or about 0 as that class says; repeated labels of a document count once, with
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from surprisal.llm.common import crc_mod, hash_order, map_batches, prepare
 
-SAMPLE = 2000
+SAMPLE, TEXT_BYTES = 2000, 1 << 16
 SMOOTHING, COST, ROUNDS = 1.0, 1.0, 12
 #: How many times in a row a word stands, of the word n-grams that count.
 REPEATS = range(2, 7)
@@ -157,7 +159,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~is_held_out())
     some = [known.where(F.col("quality") == c).orderBy(hash_order(F.col("doc_id")), "doc_id").limit(size) for c in (0, 1)]
     chosen = some[0].union(some[1]).select(F.col("doc_id").alias("__id"), "quality")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    found = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality")
 
 

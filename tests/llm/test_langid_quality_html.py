@@ -1,7 +1,10 @@
+import math
 import re
+import statistics
 import time
 import tracemalloc
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import duckdb
@@ -45,6 +48,95 @@ def test_grams_by_brute_force():
         assert len(quality.grams(text)) == len(want) == len(set(quality.grams(text).tolist()))
 
 
+def plain_train(texts, labels):
+    """Ratios, weights, constant and its weight by dictionaries and loops, of the rows that train() fits weights on."""
+    fit = [i for i in range(len(texts)) if i % 5]
+    sets = {i: set(quality.grams(texts[i]).tolist()) for i in fit}
+    keys = sorted(set().union(*sets.values()))
+    count = {c: {k: 1.0 + sum(k in sets[i] for i in fit if labels[i] == c) for k in keys} for c in (0, 1)}
+    total = {c: sum(count[c].values()) for c in (0, 1)}
+    ratio = {k: math.log((count[1][k] / total[1]) / (count[0][k] / total[0])) for k in keys}
+    constant = math.sqrt(statistics.median(sum(ratio[k] ** 2 for k in sets[i]) for i in fit))
+    rows = {}
+    for i in fit:
+        row = {k: ratio[k] for k in sets[i]} | {"constant": constant}
+        size = math.sqrt(sum(x * x for x in row.values()))
+        rows[i] = {k: x / size for k, x in row.items()}
+    weight, alpha, order = Counter(), Counter(), np.random.default_rng(7)
+    most = {c: len(fit) / (2 * sum(labels[i] == c for i in fit)) for c in (0, 1)}
+    for _ in range(quality.ROUNDS):
+        moved = 0.0
+        for i in (fit[j] for j in order.permutation(len(fit))):
+            sign = 1 if labels[i] else -1
+            new = min(max(alpha[i] - (sign * sum(weight[k] * x for k, x in rows[i].items()) - 1), 0.0), most[labels[i]])
+            for k, x in rows[i].items():
+                weight[k] += (new - alpha[i]) * sign * x
+            moved += abs(new - alpha[i])
+            alpha[i] = new
+        if moved < 1e-3 * len(fit):
+            break
+    return ratio, weight, constant
+
+
+def test_quality_by_brute_force():
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(["good", "fine", "prose", "of", "bad"] if i % 2 else ["BUY", "now", "now", "$$$", "of", "bad"], 6)) for i in range(40)]
+    labels = [i % 2 if i % 11 else 1 - i % 2 for i in range(40)]
+    model = quality.train([quality.grams(t) for t in texts], np.array(labels))
+    ratio, weight, constant = plain_train(texts, labels)
+    assert model.keys.tolist() == sorted(ratio)
+    assert np.allclose(model.ratio, [ratio[k] for k in sorted(ratio)]) and math.isclose(model.constant, constant)
+    assert np.allclose(model.weight, [weight[k] for k in sorted(ratio)], atol=1e-9) and math.isclose(model.bias, weight["constant"], abs_tol=1e-9)
+    for t in [*texts[:8], "", "other words", "now now now now"]:
+        known = [k for k in quality.grams(t).tolist() if k in ratio]
+        size = math.sqrt(sum(ratio[k] ** 2 for k in known) + constant**2)
+        margin = (sum(ratio[k] * weight[k] for k in known) + constant * weight["constant"]) / size
+        assert math.isclose(model.score(t), 1 / (1 + math.exp(-(model.slope * margin + model.shift))), rel_tol=1e-6)
+    # Of all slopes and shifts the sigmoid's are the likeliest.
+    m, y = np.array([-2.0, -1, 1, 2, -0.5, 0.7]), np.array([0, 0, 1, 1, 1, 0])
+    target, mass = np.where(y == 1, 4 / 5, 1 / 5), np.ones(6)
+    loss = lambda a, b: -(mass * (target * np.log(p := 1 / (1 + np.exp(-(a * m + b)))) + (1 - target) * np.log(1 - p))).sum()
+    a, b = quality.sigmoid(m, y)
+    assert all(loss(a, b) < loss(a + da, b + db) + 1e-3 for da in (-0.2, 0, 0.2) for db in (-0.2, 0, 0.2))
+
+
+def plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return [p[i : i + n] for p in (f"_{w}_" for w in words) for n in range(1, 6) for i in range(len(p) - n + 1) if p[i : i + n] != "_"]
+
+
+def plain_rank(counted, most):
+    """The most frequent grams; equal ones by their hash, which is computed here for itself."""
+    numbers = langid._tables()[1]
+
+    def key(gram):
+        out = 0
+        for c in gram:
+            out = (out * int(langid.MULTIPLY) + int(numbers[0 if c == "_" else ord(c)])) % 2**64
+        return out
+
+    return [g for g, _ in sorted(counted.items(), key=lambda x: (-x[1], key(x[0])))[:most]]
+
+
+def test_languages_by_brute_force(spark):
+    """Profiles, ranks, distances and scores of all rows of a small table."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = table.select("doc_id", "text", "lang").collect()
+    counted = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counted.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    profiles = {lang: {g: i for i, g in enumerate(plain_rank(c, langid.PROFILE))} for lang, c in counted.items()}
+    got = {r.doc_id: r for r in langid.report(table).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        mine = plain_rank(Counter(plain_grams(r.text)), langid.DOCUMENT)
+        apart = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        alike = {lang: 1 - d / (langid.PROFILE * len(mine)) for lang, d in apart.items()}
+        best = min(apart, key=lambda x: (apart[x], x))
+        assert got[r.doc_id].lang_pred == best and math.isclose(got[r.doc_id].score, alike[best] / sum(alike.values()), rel_tol=1e-9)
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
