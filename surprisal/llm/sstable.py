@@ -236,8 +236,8 @@ def write(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 0) -> Non
     """Encode docs (doc_id, text) into shards below folder, and a manifest of them in order of doc_id: MANIFEST."""
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = with_range(rows, "id", range_bounds(rows, "id", "text"), "bucket")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").isNotNull(), "id", "text")
+    bounds = range_bounds(rows, "id", "text")
+    dealt = with_range(rows, "id", bounds, "bucket").repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").isNotNull(), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, largest = library_encoder(vocab_path)

@@ -112,7 +112,7 @@ def with_followers(docs: DataFrame) -> DataFrame:
     copy = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail"))
     spread = placed.withColumn("to", F.explode(F.when(F.col("id") == F.col("first"), F.array(own, copy)).otherwise(F.array(own))))
     dealt = spread.select("to.bucket", "to.tail", "doc_id", "id", "text")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
+    return dealt.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "tail", "id", "text")
 
 
 def report(docs: DataFrame) -> DataFrame:
