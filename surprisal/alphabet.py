@@ -110,6 +110,12 @@ class Alphabet:
         chars = F.filter(F.split(self.column(text), ""), lambda c: c != "")
         return F.transform(chars, lambda c: (F.array_position(symbols, c) - 1).cast("int"))
 
+    def symbols_column(self, indices: Column) -> Column:
+        """The text of an array of places; a place that no symbol has gives nothing."""
+        symbols = F.array(*map(F.lit, self.symbols))
+        inside = F.filter(indices, lambda i: (i >= 0) & (i < len(self.symbols)))
+        return F.array_join(F.transform(inside, lambda i: F.element_at(symbols, i + 1)), "")
+
     def known_chars(self, text: Column) -> Column:
         """How many characters of a text are symbols already."""
         return F.length(F.regexp_replace(text, self.others, ""))

@@ -90,7 +90,7 @@ def make_model(a: argparse.Namespace, alphabet: Alphabet) -> Model:
         return KneserNey(alphabet, a.order, boundary="concat")
     if a.order < 2:
         print("a depth below 2 is hardly a context", file=sys.stderr)
-    return PPM(alphabet, a.order, escape_method=a.escape_method, update_exclusion=a.update_exclusion)
+    return PPM(alphabet, a.order, escape_method=a.escape_method, update_exclusion=a.update_exclusion, boundary="concat")
 
 
 def split_segments(segments: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +119,10 @@ def estimate(spark: SparkSession, a: argparse.Namespace) -> int:
     model = make_model(a, alphabet).fit(train).cached()
     h = model.evaluate(test)
     record = base_record(a, a.model, model, h, train, test, card)
+    # Segments are scored for themselves, whatever the model runs across.
+    single = model.across("segment") if a.model == "ppm" else KneserNey(alphabet, a.order, model.tables, model.values | {"boundary": "segment"}) if a.model == "ngram" else model
     if a.model != "ngram":
-        per = metrics.segment_entropies(test, model).persist()
+        per = metrics.segment_entropies(test, single).persist()
         if per.count() > 1:
             means = metrics.segment_means(per).first()
             rows = per.orderBy("seg_id").collect()
@@ -129,8 +131,13 @@ def estimate(spark: SparkSession, a: argparse.Namespace) -> int:
         record["codelength_verification"] = coding.verify_codelength(test, model)
     if a.bootstrap:
         try:
-            b = validation.block_bootstrap(test, model if a.model != "ngram" else KneserNey(alphabet, a.order, model.tables, model.values | {"boundary": "segment"}), CONFIG.block_size, CONFIG.resamples, CONFIG.confidence, CONFIG.seed)
+            b = validation.block_bootstrap(test, single, CONFIG.block_size, CONFIG.resamples, CONFIG.confidence, CONFIG.seed)
             record["bootstrap"] = b | {"redundancy_ci": validation.bootstrap_redundancy(bits_per_char=h, log2_alphabet_size=alphabet.log2_size, bootstrap_results=b)}
+            if "per_corpus" in record:
+                each = validation.segment_bootstrap(test, single, block_size=CONFIG.block_size, n_resamples=CONFIG.resamples, confidence_level=CONFIG.confidence, seed=CONFIG.seed)
+                for item, seg in zip(record["per_corpus"], [r["seg_id"] for r in rows], strict=True):
+                    if seg in each:
+                        item["bootstrap"] = each[seg]
             results.save_text(results.bootstrap_csv(record["bootstrap"]), out.with_name(f"{a.model}_order{a.order}_bootstrap.csv"))
         except Exception as e:
             print(f"the bootstrap failed: {e}", file=sys.stderr)
@@ -161,8 +168,9 @@ def huffman(spark: SparkSession, a: argparse.Namespace) -> int:
         results.save_json(base_record(a, "huffman", model, h, train, test, card), out)
     print(f"OK: huffman on {a.lang}/{a.corpus}: {json.loads(out.read_text(encoding='utf-8'))['bits_per_char']:.4f} bits/char")
     if a.compare:
-        rows = [r.asDict() for r in metrics.by_entropy(metrics.normalized_results(results.load_results(spark, str(out.parent)))).drop("file_name").collect()]
-        text = tables.comparison(rows, a.compare_format)
+        found = metrics.normalized_results(results.load_results(spark, str(out.parent)))
+        rows = [r.asDict() for r in metrics.by_entropy(found).drop("file_name").collect()]
+        text = tables.comparison_json(rows, metrics.redundancy_gains(found).first().asDict(), a.lang, a.corpus, a.snapshot) if a.compare_format == "json" else tables.comparison(rows, a.compare_format)
         if a.compare_format in ("json", "csv"):
             print(results.save_text(text, out.with_name(f"comparison.{a.compare_format}")))
         else:

@@ -67,8 +67,9 @@ def job_ppm(documents: DataFrame, alphabet: Alphabet = ENGLISH, depth: int = 5,
     model = PPM(alphabet, depth).fit(segments).cached()
     found = model.top_contexts(top).persist()
     rows, edges = found.collect(), context_edges(found).collect()
-    h = model.evaluate(segments)
-    return {"bits_per_char": h, "redundancy": redundancy_of(h, alphabet.log2_size), "context_tree_size": model.context_tree_size(), "top_labels": [r["ctx"] for r in rows[:charted]], "top_values": [r["n"] for r in rows[:charted]], "nodes": [{"id": r["ctx"], "total": r["n"]} for r in rows], "edges": [{"source": e["parent"], "target": e["child"]} for e in edges]}
+    h, size = model.evaluate(segments), model.context_tree_size()
+    found.unpersist(), model.released()
+    return {"bits_per_char": h, "redundancy": redundancy_of(h, alphabet.log2_size), "context_tree_size": size, "top_labels": [r["ctx"] for r in rows[:charted]], "top_values": [r["n"] for r in rows[:charted]], "nodes": [{"id": r["ctx"], "total": r["n"]} for r in rows], "edges": [{"source": e["parent"], "target": e["child"]} for e in edges]}
 
 
 def job_proof(documents: DataFrame, lang: str = "en", corpus: str = "text8", snapshot: str = "2025-10-01", **options: Any) -> dict[str, Any]:

@@ -43,6 +43,12 @@ class Model:
             t.persist()
         return self
 
+    def released(self) -> Model:
+        """Take back cached()."""
+        for t in self.tables.values():
+            t.unpersist()
+        return self
+
     def evaluate(self, segments: DataFrame) -> float:
         """Mean bits of an event; raises where there is none."""
         self.need()

@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surprisal.models.base import Model, require_text
-from surprisal.operators.counts import char_counts, first_places
+from surprisal.models.base import Model
+from surprisal.operators.counts import char_counts, counts_and_places
 
 
 def code_table(ranked: list[tuple[str, int]]) -> dict[str, str]:
@@ -36,10 +36,11 @@ class Huffman(Model):
     kind = "huffman"
 
     def fit(self, segments: DataFrame, seg_id: str = "seg_id") -> Huffman:
-        require_text(segments)
-        counts = char_counts(segments).join(first_places(segments, seg_id), "ch").orderBy("place").collect()
-        codes = code_table([(r["ch"], r["cnt"]) for r in counts])
-        rows = [(r["ch"], r["cnt"], codes[r["ch"]], len(codes[r["ch"]])) for r in counts]
+        counts = counts_and_places(segments, seg_id)
+        if not counts:
+            raise ValueError("there is no text")
+        codes = code_table(counts)
+        rows = [(ch, cnt, codes[ch], len(codes[ch])) for ch, cnt in counts]
         table = segments.sparkSession.createDataFrame(rows, "ch string, cnt bigint, code string, code_len int")
         total = sum(r[1] for r in rows)
         values = {"avg_code_length": sum(r[1] * r[3] for r in rows) / total, "max_code_length": max(r[3] for r in rows), "unique_chars": len(rows)}

@@ -10,21 +10,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surprisal.models.base import Model, require_text
+from surprisal.models.base import Model
 from surprisal.operators.counts import gram_counts
-from surprisal.operators.segments import pieces
+from surprisal.operators.segments import offsets, pieces
 
 UNKNOWN = "\x01"
 
 
 def concatenated(segments: DataFrame, size: int) -> DataFrame:
     """chunk_id, text of the chunks of all segments joined in order of seg_id. Offsets come from lengths alone."""
-    lengths = segments.select("seg_id", F.length("text").alias("n")).where("n > 0")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = segments.join(lengths.select("seg_id", before.alias("start")), "seg_id")
+    placed = segments.join(offsets(segments), "seg_id")
     room = F.lit(size) - F.col("start") % size
     head = F.col("text").substr(F.lit(1), room.cast("int"))
     parts = F.concat(F.array(head), pieces(F.expr(f"substring(text, cast({size} - start % {size} as int) + 1)"), size))
@@ -105,19 +103,20 @@ class KneserNey(Model):
         self.values |= {"discount": self.discount, "chunk_size": self.chunk_size, "mode": self.mode, "boundary": self.boundary}
 
     def fit(self, segments: DataFrame) -> KneserNey:
-        require_text(segments)
         counts = levels(grams(segments, self.order, self.chunk_size, self.boundary))
-        return KneserNey(self.alphabet, self.order, {"contexts": context_table(counts, self.order)}, dict(self.values))
+        # The vocabulary has no more symbols than the alphabet; taken apart, so that scoring plans need no result of this one.
+        seen = segments.select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct().collect()
+        known = "".join(sorted(r["ch"] for r in seen if r["ch"] != UNKNOWN))
+        if not known:
+            raise ValueError("there is no text")
+        return KneserNey(self.alphabet, self.order, {"contexts": context_table(counts, self.order)}, self.values | {"known": known})
 
     def costs(self, segments: DataFrame, by: list[str] | None = None) -> DataFrame:
         self.need()
         by = by or []
         if by and self.boundary == "concat":
             raise ValueError("scores by group need boundary segment")
-        # The vocabulary has no more symbols than the alphabet.
-        first = self.tables["contexts"].where("k = 1").first()
-        known = "".join(sorted(c for c in first["syms"] if c != UNKNOWN))
-        unseen = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in known) + "]" if known else "(?s)."
+        unseen = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in self.values["known"]) + "]"
         masked = segments.withColumn("text", F.regexp_replace("text", unseen, UNKNOWN))
         counted = levels(grams(masked, self.order, self.chunk_size, self.boundary, by), by)
         if self.mode == "top":

@@ -5,6 +5,9 @@ context without the symbol, from the longest, costs its escape -log2(u / (n + u)
 the symbol costs -log2(cnt / (n + u)) and ends it; a symbol that training has not seen costs log2 M at
 last. A symbol that follows a context follows all its suffixes, so the escapes to pay are those of all
 seen contexts without the symbol, whatever their order.
+
+With boundary "concat" contexts run across segments in order of seg_id, as if all were one text; with
+"segment" they begin anew with each, which needs no order.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from surprisal.models.base import Model, require_text
 from surprisal.operators.counts import context_counts, context_tables, symbol_tables, with_levels
+from surprisal.operators.segments import carried
 
 
 def escape_probability(n: Column, u: Column) -> Column:
@@ -47,6 +51,7 @@ class PPM(Model):
     order: int = 8
     escape_method: str = "A"
     update_exclusion: bool = False
+    boundary: str = "segment"
     kind = "ppm"
 
     def __post_init__(self) -> None:
@@ -56,14 +61,36 @@ class PPM(Model):
             raise ValueError("the depth must lie between 1 and 12")
         if self.escape_method not in ("A", "B", "C", "D"):
             raise ValueError("escape methods are A, B, C and D")
-        self.values |= {"depth": self.order, "escape_method": "A", "escape_method_requested": self.escape_method, "update_exclusion": self.update_exclusion}
+        self.boundary = self.values.get("boundary", self.boundary)
+        if self.boundary not in ("segment", "concat"):
+            raise ValueError("the boundary is segment or concat")
+        self.values |= {"boundary": self.boundary, "depth": self.order, "escape_method": "A", "escape_method_requested": self.escape_method, "update_exclusion": self.update_exclusion}
 
     def _with(self, tables: dict[str, DataFrame]) -> PPM:
         return PPM(self.alphabet, self.order, tables, dict(self.values))
 
+    def across(self, boundary: str) -> PPM:
+        """The same model with contexts that begin anew with each segment, or run across them."""
+        return PPM(self.alphabet, self.order, self.tables, self.values | {"boundary": boundary})
+
+    def shallower(self, depth: int) -> PPM:
+        """The model of a smaller depth: its contexts are among this one's."""
+        self.need()
+        if depth > self.order:
+            raise ValueError(f"the depth is {self.order}")
+        return PPM(self.alphabet, depth, {"contexts": self.tables["contexts"].where(F.col("k") <= depth)}, {k: v for k, v in self.values.items() if k != "depth"})
+
+    def counts(self, segments: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """by, ctx, sym, cnt; with boundary concat the first contexts of a segment are what stands before it."""
+        if self.boundary == "segment":
+            return context_counts(segments, self.order, by)
+        if by:
+            raise ValueError("scores by group need boundary segment")
+        return context_counts(carried(segments, self.order), self.order, left="left")
+
     def fit(self, segments: DataFrame) -> PPM:
         require_text(segments)
-        return self._with({"contexts": context_tables(symbol_tables(context_counts(segments, self.order)))})
+        return self._with({"contexts": context_tables(symbol_tables(self.counts(segments)))})
 
     def symbols(self) -> DataFrame:
         """ctx, k, sym, cnt."""
@@ -85,10 +112,10 @@ class PPM(Model):
         return 2.0 ** -pair_costs(pair, self.tables["contexts"], self.alphabet.size, self.update_exclusion).first()["bits"]
 
     def costs(self, segments: DataFrame, by: list[str] | None = None) -> DataFrame:
-        """Distinct pairs are scored once; contexts begin anew with each segment."""
+        """Distinct pairs are scored once."""
         self.need()
         by = by or []
-        counted = context_counts(segments, self.order, by).withColumnRenamed("cnt", "m")
+        counted = self.counts(segments, by).withColumnRenamed("cnt", "m")
         pairs = counted.select("ctx", "sym").distinct() if by else counted
         scored = pair_costs(pairs, self.tables["contexts"], self.alphabet.size, self.update_exclusion)
         if by:

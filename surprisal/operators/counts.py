@@ -22,29 +22,36 @@ def char_counts(segments: DataFrame, by: list[str] | None = None, text: str = "t
     return segments.select(*by, F.explode(F.split(text, "")).alias("ch")).where("ch <> ''").groupBy(*by, "ch").agg(F.count("*").alias("cnt"))
 
 
-def first_places(segments: DataFrame, seg_id: str = "seg_id", text: str = "text") -> DataFrame:
-    """ch, place: segment and order of each character's first occurrence."""
-    seen = segments.select(F.col(seg_id).alias("seg"), F.posexplode(F.array_distinct(F.split(text, ""))).alias("at", "ch")).where("ch <> ''")
-    return seen.groupBy("ch").agg(F.min(F.struct("seg", "at")).alias("place"))
+def counts_and_places(segments: DataFrame, seg_id: str = "seg_id", text: str = "text") -> list[tuple[str, int]]:
+    """Each character and its count, in order of first occurrence: one pass over all text, and one over the segments of first occurrences.
 
+    The driver gets a row for each character of the text."""
+    seen = segments.select(F.col(seg_id).alias("seg"), F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
+    rows = seen.groupBy("ch").agg(F.count("*").alias("cnt"), F.min("seg").alias("seg")).collect()
+    some = segments.where(F.col(seg_id).isin(sorted({r["seg"] for r in rows if r["seg"] is not None}))) if rows else segments.where("false")
+    first = some.select(F.col(seg_id).alias("seg"), F.posexplode(F.array_distinct(F.split(text, ""))).alias("at", "ch")).where("ch <> ''")
+    places = {(r["seg"], r["ch"]): r["at"] for r in first.groupBy("seg", "ch").agg(F.min("at").alias("at")).collect()}
+    order = sorted(rows, key=lambda r: (r["seg"] is not None, r["seg"] or 0, places.get((r["seg"], r["ch"]), 0), r["ch"]))
+    return [(r["ch"], r["cnt"]) for r in order]
 
-def _windows(text: Column, depth: int) -> Column:
-    """array<struct<left, piece>>: pieces with up to depth characters before each."""
+
+def _windows(text: Column, depth: int, left: Column) -> Column:
+    """array<struct<left, piece>>: pieces with up to depth characters before each; left stands before the first."""
     if depth == 0:
         return F.transform(pieces(text, PIECE), lambda p: F.struct(F.lit("").alias("left"), p.alias("piece")))
     size = max(PIECE, depth)
     all_pieces = pieces(text, size)
     return F.zip_with(
         all_pieces,
-        F.concat(F.array(F.lit("")), F.transform(all_pieces, lambda p: F.substring(p, -depth, depth))),
+        F.concat(F.array(left), F.transform(all_pieces, lambda p: F.substring(p, -depth, depth))),
         lambda p, left: F.struct(F.coalesce(left, F.lit("")).alias("left"), p.alias("piece")),
     )
 
 
-def gram_counts(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text") -> DataFrame:
-    """by, gram, cnt: each character with up to depth characters before it within its text."""
+def gram_counts(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text", left: str | None = None) -> DataFrame:
+    """by, gram, cnt: each character with up to depth characters before it within its text; before the first ones stands the column left."""
     by = by or []
-    parts = segments.select(*by, F.explode(_windows(F.col(text), depth)).alias("w")).where("w.piece IS NOT NULL")
+    parts = segments.select(*by, F.explode(_windows(F.col(text), depth, F.col(left) if left else F.lit(""))).alias("w")).where("w.piece IS NOT NULL")
     # Positions are exploded as numbers, so that cutting and counting grams stays in generated code.
     placed = parts.select(*by, F.concat("w.left", "w.piece").alias("all"), F.length("w.left").alias("off"))
     each = placed.select(*by, "all", F.explode(F.sequence(F.col("off") + 1, F.length("all"))).alias("i"))
@@ -52,10 +59,10 @@ def gram_counts(segments: DataFrame, depth: int, by: list[str] | None = None, te
     return each.select(*by, gram.alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("cnt"))
 
 
-def context_counts(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text") -> DataFrame:
+def context_counts(segments: DataFrame, depth: int, by: list[str] | None = None, text: str = "text", left: str | None = None) -> DataFrame:
     """by, ctx, sym, cnt for the longest contexts."""
     by = by or []
-    counted = gram_counts(segments, depth, by, text)
+    counted = gram_counts(segments, depth, by, text, left)
     return counted.select(*by, F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx"), F.expr("right(gram, 1)").alias("sym"), "cnt")
 
 

@@ -37,6 +37,14 @@ def by_entropy(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("bits_per_char"), *(["file_name"] if "file_name" in results.columns else ["model", "order"]))
 
 
+def find_result(results: DataFrame, model: str, order: int | None = None) -> DataFrame:
+    """The first raw result row, by file name where there is one, of a model's name in any case and, if given, an order; no row if none."""
+    name = F.coalesce(*(F.nullif(_column(results, c, "string"), F.lit("")) for c in ("model_choice", "model_type", "model")), F.lit(""))
+    number = F.coalesce(*(F.nullif(_column(results, c, "int"), F.lit(0)) for c in ("order", "depth")), F.lit(0))
+    found = results.where((F.lower(name) == model.lower()) & (F.lit(True) if order is None else number == order))
+    return (found.orderBy("file_name") if "file_name" in results.columns else found).limit(1)
+
+
 def redundancy_gains(results: DataFrame) -> DataFrame:
     """The best redundancy of each family, and what each next family gains; an absent family counts 0."""
     best = lambda cond: F.coalesce(F.max(F.when(cond, F.col("redundancy"))), F.lit(0.0))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surprisal.alphabet import Alphabet
@@ -45,6 +47,51 @@ def blocks(segments: DataFrame, size: int = 2000, text: str = "text") -> DataFra
     return chunks(segments, size, text, "block")
 
 
+#: Rows of a stretch of segments that one task puts in order; stretches are as many as it takes.
+STRETCH_ROWS = 1_000_000
+
+
+def stretches(rows: DataFrame, key: str = "seg_id") -> DataFrame:
+    """rows with stretch: ascending ranges of key of about STRETCH_ROWS rows each."""
+    parts = -(-rows.count() // STRETCH_ROWS)
+    bounds = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    above = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: F.col(key) >= b)) if bounds else F.lit(0)
+    return rows.withColumn("stretch", above)
+
+
+def offsets(segments: DataFrame, text: str = "text") -> DataFrame:
+    """seg_id, start: the characters of all segments before, in order of seg_id (unique); empty segments are left out.
+
+    Running sums go by stretches, whose totals (a row each) are added up on the driver."""
+    rows = stretches(segments.select("seg_id", F.length(text).alias("n")).where("n > 0"))
+    totals = sorted(map(tuple, rows.groupBy("stretch").agg(F.sum("n")).collect()))
+    base = dict(zip((k for k, _ in totals), accumulate((n for _, n in totals), initial=0), strict=False))
+    bases = rows.sparkSession.createDataFrame(list(base.items()), "stretch int, base bigint")
+    own = F.sum("n").over(Window.partitionBy("stretch").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(bases), "stretch").select("seg_id", (F.col("base") + F.col("own")).alias("start"))
+
+
+def carried(segments: DataFrame, depth: int, text: str = "text") -> DataFrame:
+    """segments with left: the last depth characters of all segments before, in order of seg_id (unique); empty segments are left out.
+
+    Only the last characters of segments are put in order, by stretches; the driver gets depth short strings of each stretch."""
+    rows = stretches(segments.where(F.length(text) > 0).select("seg_id", F.right(F.col(text), F.lit(depth)).alias("tail")))
+    order = Window.partitionBy("stretch").orderBy("seg_id")
+    own = F.array_join(F.collect_list("tail").over(order.rowsBetween(-depth, -1)), "")
+    last = rows.withColumn("back", F.row_number().over(Window.partitionBy("stretch").orderBy(F.desc("seg_id")))).where(F.col("back") <= depth)
+    ends: dict[int, str] = {}
+    for r in sorted(last.collect(), key=lambda r: (r["stretch"], -r["back"])):
+        ends[r["stretch"]] = ends.get(r["stretch"], "") + r["tail"]
+    numbers, held = sorted(ends), ""
+    before = []
+    for k in numbers:
+        before.append((k, held))
+        held = (held + ends[k])[-depth:]
+    bases = rows.sparkSession.createDataFrame(before, "stretch int, base string")
+    left = rows.withColumn("own", own).join(F.broadcast(bases), "stretch").select("seg_id", F.right(F.concat("base", "own"), F.lit(depth)).alias("left"))
+    return segments.join(left, "seg_id")
+
+
 def invalid(segments: DataFrame, alphabet: Alphabet, text: str = "text") -> DataFrame:
     """One row: characters in all, and those outside the alphabet."""
     return segments.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.length(text) - alphabet.known_chars(F.col(text))), F.lit(0)).alias("outside"))

@@ -92,12 +92,6 @@ def block_bootstrap(segments: DataFrame, model: Model, block_size: int = 2000, n
     return found | {"n_resamples": n_resamples, "block_size": block_size, "confidence_level": confidence_level, "n_blocks": n}
 
 
-def resample_table(spark, blocks_count: int, resamples: int, seed: int) -> DataFrame:  # noqa: ANN001
-    """r, block, times: the draws as a table."""
-    rows = [(r, int(b), int(n)) for r, row in enumerate(draws(blocks_count, resamples, seed)) for b, n in zip(*np.unique(row, return_counts=True), strict=True)]
-    return spark.createDataFrame(rows, "r int, block int, times int")
-
-
 def poisson_bootstrap(costs: DataFrame, n_resamples: int = 1000, confidence_level: float = 0.95, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """The same for any number of blocks: each block counts Poisson(1) times in each resample, by a hash, in one pass.
 
@@ -106,9 +100,13 @@ def poisson_bootstrap(costs: DataFrame, n_resamples: int = 1000, confidence_leve
     by = by or []
     keys = [c for c in costs.columns if c not in ("events", "bits")]
     bounds = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
-    u = F.pmod(F.xxhash64(*keys, "r", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    # A digest of 128 bits has the draws of four resamples; in SQL it is the same function.
+    groups = costs.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((n_resamples - 1) // 4))))
+    digest = groups.withColumn("digest", F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys), "g", F.lit(str(seed)))))
+    each = digest.withColumn("i", F.explode(F.array(*map(F.lit, range(4))))).withColumn("r", F.col("g") * 4 + F.col("i")).where(F.col("r") < n_resamples)
+    u = F.conv(F.substring("digest", F.col("i") * 8 + 1, F.lit(8)), 16, 10).cast("long") / float(1 << 32)
     times = sum((F.when(u >= float(b), 1).otherwise(0) for b in bounds[1:]), F.when(u >= float(bounds[0]), 1).otherwise(0))
-    spread = costs.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))).withColumn("times", times).where("times > 0")
+    spread = each.withColumn("times", times).where("times > 0")
     each = spread.groupBy(*by, "r").agg((F.sum(F.col("times") * F.col("bits")) / F.sum(F.col("times") * F.col("events"))).alias("h"))
     low = (1 - confidence_level) / 2
     return each.groupBy(*by).agg(F.avg("h").alias("mean_bpc"), F.coalesce(F.stddev_samp("h"), F.lit(0.0)).alias("std_bpc"), F.percentile("h", F.lit(low)).alias("ci_lower_bpc"), F.percentile("h", F.lit(1 - low)).alias("ci_upper_bpc"))

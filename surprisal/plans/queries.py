@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from surprisal.alphabet import ENGLISH, ENGLISH_NO_SPACE, ROMANIAN_32, Alphabet
 from surprisal.functions.text import coverage, entropy_of_counts, redundancy
 from surprisal.models import PPM, Huffman, KneserNey, Unigram
-from surprisal.models.kneser_ney import grams, levels
+from surprisal.models.kneser_ney import grams
 from surprisal.models.ppm import context_edges, top_contexts
 from surprisal.models.unigram import smoothed_costs
-from surprisal.operators import coding, metrics, validation
+from surprisal.operators import coding, metrics, segments, validation
 from surprisal.operators.counts import char_counts, context_counts, context_tables, symbol_tables
 from surprisal.operators.segments import train_test
+from surprisal.plans import tables
+from surprisal.session import scratch
 from surprisal.sources.results import card_measures
+from surprisal.sources.sinks import write_texts
+from surprisal.sources.text import any_text, gzip_text, json_lines, plain_text, readable_text, zip_text
 
 PUNCTUATED = ENGLISH.variant(include_punctuation=True)
 RESAMPLES = 1000
@@ -130,12 +134,12 @@ def huffman_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_counts_k3(spark: SparkSession, d: str) -> DataFrame:
-    return levels(grams(normalized(spark, d), 3)).where("k = 3").select("gram", "cnt")
+    return grams(normalized(spark, d), 3).where("length(gram) = 3")
 
 
 def continuation_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct characters come before each bigram."""
-    return levels(grams(normalized(spark, d), 3)).where("k = 3").groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("lefts"))
+    return grams(normalized(spark, d), 3).where("length(gram) = 3").groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("lefts"))
 
 
 def _kneser_ney(order: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -170,6 +174,105 @@ def _ppm(depth: int) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def ppm_cross_entropy_concat_d3(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts run across documents in order of doc_id, as if each half were one text."""
+    train, test = halves(spark, d)
+    return _score("ppm", 3, PPM(ENGLISH, 3, boundary="concat").fit(train).costs(test))
+
+
+def ppm_self_entropy_d2(spark: SparkSession, d: str) -> DataFrame:
+    """Fit and tested on the same text, as the jobs do."""
+    rows = normalized(spark, d)
+    return _score("ppm", 2, PPM(ENGLISH, 2).fit(rows).costs(rows))
+
+
+def ppm_update_exclusion_d2(spark: SparkSession, d: str) -> DataFrame:
+    """A model of the German documents on all others: symbols that it has not seen cost less under exclusion."""
+    rows = normalized(spark, d, extra=("lang",))
+    german, others = (rows.where(c).select("seg_id", "text") for c in ("lang = 'de'", "lang <> 'de'"))
+    return _score("ppm", 2, PPM(ENGLISH, 2, update_exclusion=True).fit(german.withColumn("text", F.translate("text", "qxz", "   "))).costs(others))
+
+
+def kn_top_o3(spark: SparkSession, d: str) -> DataFrame:
+    """Averaged over grams of full length only."""
+    train, test = halves(spark, d)
+    return _score("ngram-kn", 3, KneserNey(ENGLISH, 3, mode="top").fit(train).costs(test))
+
+
+def kn_cross_entropy_concat_o2(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks run across documents in order of doc_id."""
+    train, test = halves(spark, d)
+    return _score("ngram-kn", 2, KneserNey(ENGLISH, 2, boundary="concat").fit(train).costs(test))
+
+
+def huffman_metadata(spark: SparkSession, d: str) -> DataFrame:
+    v = Huffman(ENGLISH).fit(normalized(spark, d)).values
+    return spark.createDataFrame([(round(v["avg_code_length"], 6), v["max_code_length"], v["unique_chars"])], "avg_code_length double, max_code_length int, unique_chars int")
+
+
+def coder_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bits and payload bytes of the test halves under a unigram model, and under PPM."""
+    train, test = halves(spark, d)
+    rows = []
+    for model in (Unigram(ENGLISH).fit(train), PPM(ENGLISH, 2).fit(train)):
+        payload, bits = coding.ArithmeticCoder().encode_with_model(test, model)
+        rows.append((model.kind, round(bits, 2), len(payload)))
+    return spark.createDataFrame(rows, "model string, bits double, payload_bytes bigint")
+
+
+def validate_alphabet(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of the raw texts, and those outside the alphabet."""
+    return segments.invalid(read(spark, d, "documents"), ENGLISH)
+
+
+def span_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each document cut by a card's spans: two that fit, one that ends beyond the text, one that is empty."""
+    texts = normalized(spark, d).select(F.col("seg_id").alias("corpus"), "text")
+    n, half = F.length("text").cast("long"), F.floor(F.length("text") / 2)
+    span = lambda i, a, b: F.struct(F.lit(i).cast("long").alias("seg_id"), a.cast("long").alias("start"), b.cast("long").alias("end"))
+    spans = texts.select("corpus", F.explode(F.array(span(0, F.lit(0), half), span(1, half, n), span(2, half, n + 1), span(3, half, half))).alias("s")).select("corpus", "s.*")
+    return segments.from_spans(texts, spans).select(F.col("corpus").alias("doc_id"), "seg_id", F.length("text").alias("n"), F.md5("text").alias("md5"))
+
+
+def chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    cut = segments.chunks(normalized(spark, d), 1000)
+    return cut.select(F.col("seg_id").alias("doc_id"), "chunk_id", F.length("text").alias("n"), F.md5("text").alias("md5"))
+
+
+def indices_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    back = ENGLISH.symbols_column(ENGLISH.index_column(F.col("text")))
+    return read(spark, d, "documents").select("doc_id", F.md5(back).alias("md5"))
+
+
+def segment_bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
+    """A bootstrap of each source's blocks in one pass."""
+    split = train_test(normalized(spark, d, extra=("source",)))
+    train = split.select("seg_id", F.col("train").alias("text"))
+    test = split.select("source", "seg_id", F.col("test").alias("text"))
+    costs = validation.block_costs(test, Unigram(ENGLISH).fit(train), by=["source"])
+    found = validation.poisson_bootstrap(costs, 100, by=["source"])
+    return found.select("source", *(r6(F.col(c)).alias(c) for c in found.columns[1:]))
+
+
+def comparison_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison as the lines of its CSV file."""
+    rows = [r.asDict() for r in metrics.by_entropy(metrics.normalized_results(model_scores(spark, d))).collect()]
+    return spark.createDataFrame(list(enumerate(tables.comparison(rows, "csv").split("\n"))), "line bigint, text string")
+
+
+# Files: texts are written to the shared folder in some form and read back
+
+
+def _stored(form: str, reader: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        folder = scratch(spark, form)
+        write_texts(read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".ro")).alias("name"), "text"), folder, form)
+        found = reader(spark, folder)
+        return found.select(F.length("text").alias("n"), F.md5("text").alias("md5"))
+
+    return query
+
+
 def ppm_per_segment_d3(spark: SparkSession, d: str) -> DataFrame:
     train, test = halves(spark, d)
     return metrics.segment_entropies(test, PPM(ENGLISH, 3).fit(train)).select(F.col("seg_id").alias("doc_id"), "chars", r6(F.col("bpc")).alias("bpc"))
@@ -177,7 +280,9 @@ def ppm_per_segment_d3(spark: SparkSession, d: str) -> DataFrame:
 
 def ppm_codelength_verify(spark: SparkSession, d: str) -> DataFrame:
     train, test = halves(spark, d)
-    v = coding.verify_codelength(test, PPM(ENGLISH, 2).fit(train).cached())
+    model = PPM(ENGLISH, 2).fit(train).cached()
+    v = coding.verify_codelength(test, model)
+    model.released()
     return spark.createDataFrame([(round(v["cross_entropy_bpc"], 6), round(v["codelength_bpc"], 6), v["matches"])], "cross_entropy_bpc double, codelength_bpc double, matches boolean")
 
 
@@ -188,10 +293,13 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     """model_choice, order, bits_per_char, log2_alphabet_size of several models over the same split."""
     train, test = halves(spark, d)
     train, test = train.persist(), test.persist()
-    rows = []
-    for name, model in (("unigram", Unigram(ENGLISH)), ("huffman", Huffman(ENGLISH)), ("ngram-kn", KneserNey(ENGLISH, 2)), ("ngram-kn", KneserNey(ENGLISH, 3)), ("ppm", PPM(ENGLISH, 2)), ("ppm", PPM(ENGLISH, 3))):
-        rows.append((name, model.order, model.fit(train).evaluate(test), ENGLISH.log2_size))
-    train.unpersist(), test.unpersist()
+    try:
+        deep = PPM(ENGLISH, 3).fit(train).cached()
+        fit = [("unigram", Unigram(ENGLISH).fit(train)), ("huffman", Huffman(ENGLISH).fit(train)), ("ngram-kn", KneserNey(ENGLISH, 2).fit(train)), ("ngram-kn", KneserNey(ENGLISH, 3).fit(train)), ("ppm", deep.shallower(2)), ("ppm", deep)]
+        rows = [(name, model.order, model.evaluate(test), ENGLISH.log2_size) for name, model in fit]
+    finally:
+        deep.released()
+        train.unpersist(), test.unpersist()
     return spark.createDataFrame(rows, "model_choice string, order int, bits_per_char double, log2_alphabet_size double")
 
 
@@ -226,7 +334,8 @@ def bootstrap_unigram_ci(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_poisson_ci(spark: SparkSession, d: str) -> DataFrame:
     train, test = halves(spark, d)
-    return validation.poisson_bootstrap(validation.block_costs(test, Unigram(ENGLISH).fit(train)), RESAMPLES)
+    found = validation.poisson_bootstrap(validation.block_costs(test, Unigram(ENGLISH).fit(train)), RESAMPLES)
+    return found.select(*(r6(F.col(c)).alias(c) for c in found.columns))
 
 
 def sensitivity_unigram(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +370,9 @@ def event_type_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [alphabet_coverage_raw, to_indices, document_digests, train_test_split, char_frequencies, char_frequencies_by_lang, unigram_entropy_by_lang, unigram_entropy_by_source, unigram_cross_entropy, per_segment_cross_entropy, per_segment_means, huffman_code_lengths, huffman_cross_entropy, ngram_counts_k3, continuation_counts, ppm_context_stats, ppm_top_contexts, ppm_context_edges, ppm_per_segment_d3, ppm_codelength_verify, redundancy_comparison, redundancy_gains, best_model_per_family, block_costs, bootstrap_unigram_ci, bootstrap_poisson_ci, sensitivity_unigram, corpus_datacard, entropy_by_label, conversation_entropy_by_role, event_type_entropy]
+    named = [alphabet_coverage_raw, to_indices, document_digests, train_test_split, char_frequencies, char_frequencies_by_lang, unigram_entropy_by_lang, unigram_entropy_by_source, unigram_cross_entropy, per_segment_cross_entropy, per_segment_means, huffman_code_lengths, huffman_cross_entropy, ngram_counts_k3, continuation_counts, ppm_context_stats, ppm_top_contexts, ppm_context_edges, ppm_per_segment_d3, ppm_cross_entropy_concat_d3, ppm_self_entropy_d2, ppm_update_exclusion_d2, kn_top_o3, kn_cross_entropy_concat_o2, huffman_metadata, coder_sizes, validate_alphabet, span_segments, chunk_table, indices_round_trip, segment_bootstrap_means, comparison_lines, ppm_codelength_verify, redundancy_comparison, redundancy_gains, best_model_per_family, block_costs, bootstrap_unigram_ci, bootstrap_poisson_ci, sensitivity_unigram, corpus_datacard, entropy_by_label, conversation_entropy_by_role, event_type_entropy]
+    stored = {"plain": plain_text, "readable": readable_text, "gzip": gzip_text, "zip": zip_text, "bz2": any_text, "tgz": any_text, "jsonl": json_lines}
     alphabets = {"en27": ENGLISH, "en26": ENGLISH_NO_SPACE, "ro32": ROMANIAN_32, "punct": PUNCTUATED}
     out = {f"normalize_{k}": _normalize(a) for k, a in alphabets.items()} | {f.__name__: f for f in named}
+    out |= {f"source_{k}": _stored(k, r) for k, r in stored.items()}
     return out | {f"kn_cross_entropy_o{n}": _kneser_ney(n) for n in (2, 3, 5)} | {f"ppm_cross_entropy_d{n}": _ppm(n) for n in (3, 5)}

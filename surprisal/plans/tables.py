@@ -51,6 +51,11 @@ def comparison(results: list[dict[str, Any]], style: str = "table") -> str:
     return grid(head, rows) if style == "table" else markdown(head, rows)
 
 
+def comparison_json(results: list[dict[str, Any]], gains: dict[str, float], lang: str, corpus: str, snapshot: str) -> str:
+    """The comparison of one corpus with what each family gains."""
+    return json.dumps({"lang": lang, "corpus": corpus, "snapshot": snapshot, "results": results, "gains": gains}, indent=2, ensure_ascii=False)
+
+
 def sensitivity(results: dict[str, Any], style: str = "table") -> str | dict[str, Any]:
     if style == "json":
         return {"baseline": results.get("baseline", {}), "variants": results.get("variants", [])}

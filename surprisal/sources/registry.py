@@ -24,14 +24,14 @@ class CorpusSpec:
 
 #: Corpora with their public addresses (fixed values).
 CORPORA = [
-    CorpusSpec("en", "wikipedia", f"{DUMPS}/enwiki/latest/enwiki-latest-pages-articles.xml.bz2", "wikipedia_xml", "CC BY-SA 3.0", "English Wikipedia articles dump", "WikipediaExtractor"),
-    CorpusSpec("en", "brown", None, "nltk_brown", "Public Domain", "NLTK Brown corpus", "NLTKBrownExtractor"),
-    CorpusSpec("en", "gutenberg", None, "nltk_gutenberg", "Public Domain", "NLTK Gutenberg corpus", "NLTKGutenbergExtractor"),
-    CorpusSpec("en", "text8", "http://mattmahoney.net/dc/text8.zip", "text_zip", "Public Domain", "text8 benchmark (first 10^8 bytes of Wikipedia)", "ZipTextExtractor"),
-    CorpusSpec("ro", "wikipedia", f"{DUMPS}/rowiki/latest/rowiki-latest-pages-articles.xml.bz2", "wikipedia_xml", "CC BY-SA 3.0", "Romanian Wikipedia articles dump", "WikipediaExtractor"),
-    CorpusSpec("ro", "opus", "https://object.pouta.csc.fi/OPUS-OpenSubtitles/v2024/mono/ro.txt.gz", "text_gzip", "CC0", "OPUS OpenSubtitles monolingual Romanian", "GzipTextExtractor"),
-    CorpusSpec("ro", "europarl", "https://www.statmt.org/europarl/v7/ro-en.tgz", "parallel_corpus", "Public Domain", "Europarl v7 Romanian-English parallel corpus (Romanian side)", "EuroparlExtractor"),
-    CorpusSpec("ro", "oscar", None, "huggingface", "CC0", "OSCAR-2201 Romanian (gated; requires HuggingFace authentication)", "OSCARExtractor"),
+    CorpusSpec("en", "wikipedia", f"{DUMPS}/enwiki/latest/enwiki-latest-pages-articles.xml.bz2", "wikipedia_xml", "CC BY-SA 3.0", "All articles of the English Wikipedia", "WikipediaExtractor"),
+    CorpusSpec("en", "brown", None, "nltk_brown", "Public Domain", "Tagged American English of 1961, without its tags", "NLTKBrownExtractor"),
+    CorpusSpec("en", "gutenberg", None, "nltk_gutenberg", "Public Domain", "Some books out of copyright", "NLTKGutenbergExtractor"),
+    CorpusSpec("en", "text8", "http://mattmahoney.net/dc/text8.zip", "text_zip", "Public Domain", "A hundred million letters and blanks of encyclopedia text", "ZipTextExtractor"),
+    CorpusSpec("ro", "wikipedia", f"{DUMPS}/rowiki/latest/rowiki-latest-pages-articles.xml.bz2", "wikipedia_xml", "CC BY-SA 3.0", "All articles of the Romanian Wikipedia", "WikipediaExtractor"),
+    CorpusSpec("ro", "opus", "https://object.pouta.csc.fi/OPUS-OpenSubtitles/v2024/mono/ro.txt.gz", "text_gzip", "CC0", "Lines of film subtitles in Romanian", "GzipTextExtractor"),
+    CorpusSpec("ro", "europarl", "https://www.statmt.org/europarl/v7/ro-en.tgz", "parallel_corpus", "Public Domain", "Debates of the European Parliament, the Romanian half", "EuroparlExtractor"),
+    CorpusSpec("ro", "oscar", None, "huggingface", "CC0", "Romanian web text; needs a login", "OSCARExtractor"),
 ]
 
 

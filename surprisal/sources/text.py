@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 OUT = "path string, member string, at int, text string"
@@ -36,6 +36,12 @@ def plain_text(spark: SparkSession, path: str) -> DataFrame:
     return _unpacked(spark, path, lambda name, raw: [("", decoded(raw))])
 
 
+def readable_text(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as plain_text reads them; files that cannot be read, or vanish, are passed over."""
+    files = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return _unpacked(spark, path, lambda name, raw: [("", decoded(raw))], files)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """One row a line: large files, compressed ones too, in as many tasks as they split into."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -91,14 +97,14 @@ def any_text(spark: SparkSession, path: str) -> DataFrame:
     return _unpacked(spark, path, members)
 
 
-def _unpacked(spark: SparkSession, path: str, members: Callable[[str, bytes], Iterator[tuple[str, str]]]) -> DataFrame:
+def _unpacked(spark: SparkSession, path: str, members: Callable[[str, bytes], Iterator[tuple[str, str]]], reader: DataFrameReader | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, raw in zip(batch["path"], batch["content"], strict=True):
                 for at, (member, text) in enumerate(members(name, raw)):
                     yield pd.DataFrame([(name, member, at, text)], columns=["path", "member", "at", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, OUT)
+    return (reader or spark.read).format("binaryFile").load(path).select("path", "content").mapInPandas(run, OUT)
 
 
 def joined(texts: DataFrame, by: str = "\n") -> DataFrame:
@@ -150,7 +156,7 @@ EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
     "PlainTextExtractor": plain_text,
     "WikipediaExtractor": wikipedia,
     "NLTKBrownExtractor": tagged_words,
-    "NLTKGutenbergExtractor": plain_text,
+    "NLTKGutenbergExtractor": readable_text,
     "ZipTextExtractor": zip_text,
     "GzipTextExtractor": gzip_text,
     "EuroparlExtractor": europarl,

@@ -140,3 +140,41 @@ def test_save_and_load(spark, segs, tmp_path, model):
         model.save(str(tmp_path / "n"))
     by = {r.seg_id: r.bits / r.events for r in fit.costs(segs("abra", "fox the"), ["seg_id"]).collect()}
     near(by[1], fit.evaluate(segs("fox the")))
+
+
+@pytest.mark.parametrize("depth", [4])
+def test_contexts_across_segments(spark, monkeypatch, depth):
+    """Any cutting into segments, empty ones among them, gives the figures of the one joined text."""
+    from surprisal.operators import segments as parts
+
+    r = random.Random(depth)
+    whole = PPM(ENGLISH, depth, boundary="concat").fit(spark.createDataFrame([(0, FOX[:CUT])], "seg_id bigint, text string"))
+    want = whole.evaluate(spark.createDataFrame([(0, FOX[CUT:])], "seg_id bigint, text string"))
+    near(want, PPM(ENGLISH, depth).fit(spark.createDataFrame([(0, FOX[:CUT])], "seg_id bigint, text string")).evaluate(spark.createDataFrame([(0, FOX[CUT:])], "seg_id bigint, text string")))
+
+    def cut(text):
+        places = sorted(r.choices(range(len(text) + 1), k=40))
+        bits = [text[a:b] for a, b in zip([0, *places], [*places, len(text)], strict=True)]
+        return spark.createDataFrame([(10 * i - 50, t) for i, t in enumerate(bits)], "seg_id bigint, text string").repartition(3)
+
+    for rows in (1_000_000, 3):
+        monkeypatch.setattr(parts, "STRETCH_ROWS", rows)
+        model = PPM(ENGLISH, depth, boundary="concat").fit(cut(FOX[:CUT]))
+        near(model.evaluate(cut(FOX[CUT:])), want)
+        assert model.context_tree_size() == whole.context_tree_size()
+        near(KneserNey(ENGLISH, 3, boundary="concat").fit(cut(FOX)).evaluate(cut(FOX[CUT:])), KneserNey(ENGLISH, 3).fit(cut(FOX[:0] + FOX).limit(0).union(spark.createDataFrame([(0, FOX)], "seg_id bigint, text string"))).evaluate(spark.createDataFrame([(0, FOX[CUT:])], "seg_id bigint, text string")))
+    with pytest.raises(ValueError, match="segment"):
+        model.costs(cut(FOX), ["seg_id"])
+    with pytest.raises(ValueError, match="boundary"):
+        PPM(ENGLISH, 3, boundary="chunk")
+
+
+def test_codelength_paths(segs, monkeypatch):
+    from surprisal.operators import coding
+
+    train, test = segs(FOX[:60], FOX[60:CUT]), segs(FOX[CUT:], "zebra")
+    for boundary in ("segment", "concat"):
+        model = PPM(ENGLISH, 3, boundary=boundary).fit(train)
+        assert coding.verify_codelength(test, model)["delta_bpc"] < 1e-9
+    monkeypatch.setattr(coding, "REPLAYED_MOST", 2)
+    assert coding.verify_codelength(test, PPM(ENGLISH, 3).fit(train))["delta_bpc"] < 1e-9

@@ -235,3 +235,28 @@ def test_oracles(spark):
         assert sorted(got.columns) == sorted(want.columns), name
         columns = sorted(got.columns)
         assert sorted(map(str, got[columns].itertuples(index=False, name=None))) == sorted(map(str, want[columns].itertuples(index=False, name=None))), name
+
+
+def test_texts_come_back_from_every_form(spark, tmp_path, monkeypatch):
+    from surprisal.sources import sinks, text
+
+    rows = [("a", "plain é text"), ("b", ""), ("c", None), ("d", "line\nline 😀"), ("e", "x" * 5000)]
+    frame = spark.createDataFrame(rows, "name string, text string").repartition(2)
+    readers = {"plain": text.plain_text, "readable": text.readable_text, "gzip": text.gzip_text, "bz2": text.any_text, "zip": text.zip_text, "tgz": text.any_text, "jsonl": text.json_lines}
+    monkeypatch.setattr(sinks, "ARCHIVE_BYTES", 100)
+    for form, reader in readers.items():
+        sinks.write_texts(frame, f"file://{tmp_path}/{form}", form)
+        assert sorted(r.text for r in reader(spark, f"file://{tmp_path}/{form}").collect()) == sorted(t or "" for _, t in rows), form
+    with pytest.raises(ValueError, match="forms"):
+        sinks.write_texts(frame, f"file://{tmp_path}/x", "rar")
+
+
+def test_comparison_of_a_corpus(spark):
+    rows = [("PPM", 8, 1.5), ("ngram-kn", 5, 2.5), ("huffman", 1, 4.22)]
+    found = spark.createDataFrame([(m, o, h, 4.755, f"{i}.json") for i, (m, o, h) in enumerate(rows)], "model_choice string, order int, bits_per_char double, log2_alphabet_size double, file_name string")
+    normal = metrics.normalized_results(found)
+    said = json.loads(tables.comparison_json([r.asDict() for r in metrics.by_entropy(normal).collect()], metrics.redundancy_gains(normal).first().asDict(), "en", "text8", "2025-10-01"))
+    assert [said[k] for k in ("lang", "corpus", "snapshot")] == ["en", "text8", "2025-10-01"] and set(said) == {"lang", "corpus", "snapshot", "results", "gains"}
+    assert [r["model"] for r in said["results"]] == ["huffman", "ngram-kn", "PPM"] and abs(said["gains"]["huffman_to_ngram_gain"] - (4.22 - 2.5) / 4.755) < 1e-9
+    assert metrics.find_result(found, "ppm").first()["order"] == 8
+    assert metrics.find_result(found, "ppm", 5).isEmpty() and metrics.find_result(found, "ngram-KN", 5).count() == 1
