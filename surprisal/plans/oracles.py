@@ -220,7 +220,7 @@ SELECT model, round(bits, 2) AS bits, CAST(greatest(1, (CAST(ceil(bits) AS BIGIN
     out["chunk_table"] = f"WITH {DOCS}, c AS (SELECT doc_id, j, substring(t, j * 1000 + 1, 1000) AS p FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 1000.0) AS BIGINT))) AS j FROM docs)) SELECT doc_id, CAST(j AS INTEGER) AS chunk_id, CAST(length(p) AS INTEGER) AS n, md5(p) AS md5 FROM c"
     out["indices_round_trip"] = f"WITH {DOCS} SELECT doc_id, md5(t) AS md5 FROM docs"
     for k in ("plain", "readable", "gzip", "zip", "bz2", "tgz", "jsonl"):
-        out[f"source_{k}"] = "SELECT CAST(length(coalesce(text, '')) AS INTEGER) AS n, md5(coalesce(text, '')) AS md5 FROM documents"
+        out[f"source_{k}"] = "SELECT CAST(length(coalesce(text, '')) AS INTEGER) AS n, md5(coalesce(text, '')) AS md5 FROM documents" + " WHERE text <> ''" * (k in ("plain", "readable"))
     out["bootstrap_poisson_ci"] = f"WITH {SPLIT}, {block_scores()}, {poisson('bs', ['doc_id', 'block_id'], 1000)} SELECT * FROM pb"
     sourced = SPLIT.replace("SELECT doc_id, lang, substring", "SELECT doc_id, source, substring")
     out["segment_bootstrap_means"] = f"WITH {sourced}, {block_scores('source,')}, {poisson('bs', ['source', 'doc_id', 'block_id'], 100, 'source')} SELECT * FROM pb"

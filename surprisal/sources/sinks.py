@@ -41,7 +41,7 @@ def _tgz(members: list[tuple[str, bytes]]) -> bytes:
 
 
 def write_texts(texts: DataFrame, folder: str, form: str) -> None:
-    """texts: name (unique, fit for a file) and text; a null text is an empty file."""
+    """texts: name (unique, fit for a file) and text; a null text is an empty one. Readers pass over files of no bytes, so plain empty texts do not come back."""
     if form not in FORMS:
         raise ValueError(f"forms are {', '.join(FORMS)}")
     if form == "jsonl":

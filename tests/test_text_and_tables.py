@@ -246,7 +246,7 @@ def test_texts_come_back_from_every_form(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "ARCHIVE_BYTES", 100)
     for form, reader in readers.items():
         sinks.write_texts(frame, f"file://{tmp_path}/{form}", form)
-        assert sorted(r.text for r in reader(spark, f"file://{tmp_path}/{form}").collect()) == sorted(t or "" for _, t in rows), form
+        assert sorted(r.text for r in reader(spark, f"file://{tmp_path}/{form}").collect()) == sorted(t or "" for _, t in rows if t or form not in ("plain", "readable")), form
     with pytest.raises(ValueError, match="forms"):
         sinks.write_texts(frame, f"file://{tmp_path}/x", "rar")
 
