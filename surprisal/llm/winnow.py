@@ -106,8 +106,12 @@ def with_followers(docs: DataFrame) -> DataFrame:
     bounds = range_bounds(rows, "id", "text")
     placed = with_range(rows, "id", bounds, "bucket")
     firsts = sorted(map(tuple, with_range(rows.select("id"), "id", bounds, "bucket").groupBy("bucket").agg(F.min("id")).collect()))
-    turned = [(b, first, firsts[i - 1][0]) for i, (b, first) in enumerate(firsts)]
-    placed = placed.join(docs.sparkSession.createDataFrame(turned, "bucket int, first bigint, before int"), "bucket")
+    # By bucket: its first id, and the bucket before it that has rows; 16 bytes for each 24 MB of text, looked up without a join.
+    first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, (b, low) in enumerate(firsts):
+        first[b], before[b] = low, firsts[i - 1][0]
+    held = docs.sparkSession.createDataFrame(pa.table({"first": [first], "before": [before]}, pa.schema([("first", pa.list_(pa.int64())), ("before", pa.list_(pa.int32()))])))
+    placed = placed.withColumns({c: F.element_at(held.select(c).scalar(), F.col("bucket") + 1) for c in ("first", "before")})
     own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("tail"))
     copy = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail"))
     spread = placed.withColumn("to", F.explode(F.when(F.col("id") == F.col("first"), F.array(own, copy)).otherwise(F.array(own))))
