@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from surprisal.operators.segments import pieces
 
 #: Characters of a piece: substrings are found by counting from its start.
-PIECE = 96
+PIECE = 24
 
 
 def char_counts(segments: DataFrame, by: list[str] | None = None, text: str = "text") -> DataFrame:

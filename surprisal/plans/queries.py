@@ -133,13 +133,18 @@ def huffman_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
 # Grams and contexts
 
 
+def _trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """The condition names the count, lest it be pushed below the aggregation, where every position would cut its gram twice."""
+    return grams(normalized(spark, d), 3).where("CASE WHEN cnt > 0 THEN length(gram) = 3 END")
+
+
 def ngram_counts_k3(spark: SparkSession, d: str) -> DataFrame:
-    return grams(normalized(spark, d), 3).where("length(gram) = 3")
+    return _trigrams(spark, d)
 
 
 def continuation_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct characters come before each bigram."""
-    return grams(normalized(spark, d), 3).where("length(gram) = 3").groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("lefts"))
+    return _trigrams(spark, d).groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("lefts"))
 
 
 def _kneser_ney(order: int) -> Callable[[SparkSession, str], DataFrame]:
