@@ -7,8 +7,7 @@ are verified word by word.
 
 The broadcast is bounded: repeated items count once, items are cut into overlapping pieces, and pieces
 dealt into shards of SHARD_BYTES of words at most, whatever the length of an item. One index is held at
-a time. A shard that is full takes some 200 MB in the driver and in each Python worker (measured, see the
-README). Usually there is one shard. Of several, each is a scan of its own, whose hits are written and
+a time. A shard that is full takes some 330 MB at its peak where it is built, 75 MB broadcast (measured). Usually there is one shard. Of several, each is a scan of its own, whose hits are written and
 joined per text before documents are judged.
 
 Defined results: a null text has no words and is clean; an item without words matches nothing; items
@@ -153,18 +152,20 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def pieces(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, part, n (the window length) and words of the items: runs of PIECE_WORDS windows at most, so that every window is in one."""
+    """item_id, n (the window length) and words of the items: distinct runs of PIECE_WORDS windows at most, so that every window is in one.
+
+    Items are cut before repeats are looked for, so that no aggregation holds a long text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column("item_id"), batch.column("text").to_pylist(), strict=True):
                 ws = words(text)
                 n = min(window, len(ws))
-                for part, i in enumerate(range(0, len(ws) - n + 1, PIECE_WORDS) if n else ()):
+                for i in range(0, len(ws) - n + 1, PIECE_WORDS) if n else ():
                     made = b" ".join(ws[i : i + PIECE_WORDS + n - 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()], pa.int64()), pa.array([part], pa.int64()), pa.array([n], pa.int32()), pa.array([made], pa.binary())], ["item_id", "part", "n", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([made], pa.binary())], ["item_id", "n", "words"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(run, "item_id bigint, part bigint, n int, words binary")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id bigint, n int, words binary").distinct()
 
 
 def shards(made: DataFrame) -> int:
@@ -175,7 +176,7 @@ def shards(made: DataFrame) -> int:
 
 def index_of(made: DataFrame, n: int, k: int) -> Index:
     """The index of one shard of n."""
-    rows = made.where(F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(n)) == k) if n > 1 else made
+    rows = made.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k) if n > 1 else made
     return Index.build((r[0], r[1], bytes(r[2]).split(b" ")) for r in rows.select("item_id", "n", "words").toLocalIterator())
 
 
