@@ -179,7 +179,7 @@ def huffman(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def report(spark: SparkSession, a: argparse.Namespace) -> int:
-    for kind, path in generate_report(spark, a.lang, a.corpus, a.snapshot, a.format, a.out, a.latex_style, figures_dir=a.figures_dir).items():
+    for kind, path in generate_report(spark, a.lang, a.corpus, a.snapshot, a.format, a.out, a.latex_style, figures_dir=a.figures_dir, site_tool=a.site_tool).items():
         print(f"{kind}: {path}")
     return 0
 
@@ -214,6 +214,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=["pdf", "html", "both"], default="both")
     p.add_argument("--out", default="paper")
     p.add_argument("--figures-dir")
+    p.add_argument("--site-tool", choices=["quarto", "jupyter-book"], default="quarto")
     p.add_argument("--latex-style", choices=["article", "acm", "arxiv"], default="article")
     return top
 

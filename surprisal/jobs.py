@@ -107,6 +107,7 @@ class JobRunner:
                 return
             state.status = Status.RUNNING
         self.spark.addTag(spec.job_id)
+        self.spark.sparkContext.addJobTag(spec.job_id)
         try:
             state.result = KINDS[spec.kind](self.documents, **spec.params)
             with self.lock:
@@ -118,10 +119,24 @@ class JobRunner:
                     state.status, state.error = Status.FAILED, str(e)
         finally:
             self.spark.removeTag(spec.job_id)
+            self.spark.sparkContext.removeJobTag(spec.job_id)
             if self.artifacts:
                 Path(self.artifacts).mkdir(parents=True, exist_ok=True)
                 Path(self.artifacts, f"{spec.job_id}.json").write_text(json.dumps({"spec": asdict(spec), "status": state.status, "result": state.result}, default=str), encoding="utf-8")
 
+    def progress(self, job_id: str) -> float:
+        """The share of tasks done, of those of the stages known so far; 1 only when the job is."""
+        state = self.states[job_id]
+        if state.status == Status.RUNNING:
+            tracker, of_tag = self.spark.sparkContext.statusTracker(), self.spark.sparkContext._jsc.sc().statusTracker()
+            jobs = filter(None, map(tracker.getJobInfo, of_tag.getJobIdsForTag(job_id)))
+            stages = [s for j in jobs for s in map(tracker.getStageInfo, j.stageIds) if s]
+            share = sum(s.numCompletedTasks for s in stages) / max(1, sum(s.numTasks for s in stages))
+            with self.lock:
+                if state.status == Status.RUNNING:
+                    state.progress = max(state.progress, min(share, 0.99))
+        return state.progress
+
     def cancel(self, job_id: str) -> None:
         with self.lock:
             if self.states[job_id].status in (Status.PENDING, Status.RUNNING):

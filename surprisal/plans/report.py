@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 from datetime import UTC, datetime
@@ -19,7 +20,20 @@ from surprisal.sources.results import load_card, load_results, save_text
 
 LANGUAGE_NAMES = {"en": "English", "ro": "Romanian"}
 CORPUS = {"en": "text8", "ro": "opus"}
-STYLES = {"article": "\\documentclass{article}", "acm": "\\documentclass[sigconf]{acmart}", "arxiv": "\\documentclass[11pt]{article}"}
+#: The works that a report cites, by key: kind and fields.
+WORKS = {
+    "shannon1951": ("article", {"author": "C. E. Shannon", "title": "Prediction and Entropy of Printed English", "journal": "Bell System Technical Journal", "volume": "30", "number": "1", "pages": "50--64", "year": "1951"}),
+    "huffman1952": ("article", {"author": "D. A. Huffman", "title": "A Method for the Construction of Minimum-Redundancy Codes", "journal": "Proceedings of the IRE", "volume": "40", "number": "9", "pages": "1098--1101", "year": "1952"}),
+    "cleary1984": ("article", {"author": "J. G. Cleary and I. H. Witten", "title": "Data Compression Using Adaptive Coding and Partial String Matching", "journal": "IEEE Transactions on Communications", "volume": "32", "number": "4", "pages": "396--402", "year": "1984"}),
+    "kneser1995": ("inproceedings", {"author": "R. Kneser and H. Ney", "title": "Improved Backing-off for M-gram Language Modeling", "booktitle": "International Conference on Acoustics, Speech, and Signal Processing", "volume": "1", "pages": "181--184", "year": "1995"}),
+    "efron1979": ("article", {"author": "B. Efron", "title": "Bootstrap Methods: Another Look at the Jackknife", "journal": "The Annals of Statistics", "volume": "7", "number": "1", "pages": "1--26", "year": "1979"}),
+}
+#: Style by name: the document class and what the preamble adds.
+STYLES = {
+    "article": (r"\documentclass{article}", [r"\usepackage{graphicx}"]),
+    "acm": (r"\documentclass[sigconf,nonacm]{acmart}", []),
+    "arxiv": (r"\documentclass[11pt]{article}", [r"\usepackage[margin=1in]{geometry}", r"\usepackage{graphicx}"]),
+}
 #: Characters that LaTeX reads as commands (fixed values).
 LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 
@@ -94,17 +108,36 @@ def markdown_report(c: dict[str, Any]) -> str:
     return "\n\n".join(parts) + "\n"
 
 
-def latex_report(c: dict[str, Any], style: str = "article") -> str:
-    """An unknown style is an article."""
-    e, rows = escape_latex, []
-    for r in c["comparison_table_data"]:
-        rows.append(" & ".join([e(tables.display_name(r["model"], r["order"])), f"{r['bits_per_char']:.4f}", e(f"{r['redundancy']:.2%}"), f"{r['compression_ratio']:.3f}"]) + r" \\")
-    return "\n".join([
-        STYLES.get(style, STYLES["article"]), r"\usepackage[utf8]{inputenc}", r"\begin{document}", rf"\title{{How predictable is {e(c['language_name'])}?}}", r"\maketitle",
-        rf"Corpus {e(c['corpus_name'])}, snapshot {e(c['snapshot'])}, alphabet {e(c['alphabet_name'])} with $\log_2 M = {c['log2_alphabet_size']:.4f}$.",
-        rf"PPM needs {e(_said(c['ppm_bpc']))} bits a character, a redundancy of {e(_said(c['ppm_redundancy'], '{:.2%}'))}.",
-        r"\begin{tabular}{lrrr}", r"Model & $H$ & Redundancy & Ratio \\ \hline", *rows, r"\end{tabular}", r"\end{document}", "",
-    ])
+def bibliography() -> str:
+    """WORKS as a BibTeX file."""
+    entries = ("\n".join([f"@{kind}{{{key},", *(f"  {k} = {{{v}}}," for k, v in fields.items()), "}"]) for key, (kind, fields) in WORKS.items())
+    return "\n\n".join(entries) + "\n"
+
+
+def _rows(data: list[list[str]]) -> list[str]:
+    return [" & ".join(map(escape_latex, row)) + r" \\" for row in data]
+
+
+def latex_report(c: dict[str, Any], style: str = "article", pictures: list[str] | None = None) -> str:
+    """An unknown style is an article. pictures: paths of figures, as the document finds them."""
+    e = escape_latex
+    head, packages = STYLES.get(style, STYLES["article"])
+    compared = [[tables.display_name(r["model"], r["order"]), f"{r['bits_per_char']:.4f}", f"{r['redundancy']:.2%}", f"{r['compression_ratio']:.3f}"] for r in c["comparison_table_data"]]
+    title = rf"\title{{How predictable is {e(c['language_name'])}?}}"
+    corpus = rf"Corpus {e(c['corpus_name'])}, snapshot {e(c['snapshot'])}, alphabet {e(c['alphabet_name'])} with $M = {c['alphabet_size']}$ and $\log_2 M = {c['log2_alphabet_size']:.4f}$. What is not needed of those bits is redundancy \cite{{shannon1951}}."
+    found = [
+        rf"Prediction by partial matching \cite{{cleary1984}} needs {e(_said(c['ppm_bpc']))} bits a character, a redundancy of {e(_said(c['ppm_redundancy'], '{:.2%}'))}.",
+        rf"Huffman's code \cite{{huffman1952}} needs {e(_said(c['huffman_bpc']))}, the best n-gram \cite{{kneser1995}} {e(_said(c['ngram_best_bpc']))}.",
+    ]
+    if c["has_bootstrap"]:
+        found.append(rf"Half-widths of the bootstrap \cite{{efron1979}}: $\pm {c['ppm_ci_width']:.4f}$ bits, $\pm {c['redundancy_ci_width']:.4f}$ redundancy.")
+    body = [r"\section{Corpus}", corpus, r"\section{Results}", *found, "", r"\begin{tabular}{lrrr}", r"Model & $H$ & Redundancy & Ratio \\ \hline", *_rows(compared), r"\end{tabular}"]
+    if c["has_sensitivity"]:
+        ablated = [[r["variant"], str(r["alphabet_size"]), f"{r['bits_per_char']:.4f}", f"{r['delta_h']:+.4f}", f"{r['delta_r']:+.4f}"] for r in c["sensitivity_table_data"]]
+        body += [r"\section{Ablations}", r"\begin{tabular}{lrrrr}", r"Variant & $M$ & $H$ & $\Delta H$ & $\Delta R$ \\ \hline", *_rows(ablated), r"\end{tabular}"]
+    body += [rf"\begin{{figure}}[h]\centering\includegraphics[width=0.8\linewidth]{{{p}}}\end{{figure}}" for p in pictures or []]
+    preamble = [head, r"\usepackage[utf8]{inputenc}", *packages, title, rf"\date{{{e(c['generation_date'])}}}"]
+    return "\n".join([*preamble, r"\begin{document}", r"\maketitle", *body, r"\bibliographystyle{plain}", r"\bibliography{references}", r"\end{document}", ""])
 
 
 def figures(c: dict[str, Any], folder: str | Path) -> list[Path]:
@@ -135,27 +168,62 @@ def figures(c: dict[str, Any], folder: str | Path) -> list[Path]:
     return made
 
 
+def _ran(command: list[str], folder: Path) -> bool:
+    return subprocess.run(command, cwd=folder, capture_output=True, check=False).returncode == 0
+
+
 def compile_pdf(tex: Path) -> Path | None:
-    """The PDF, or None where no LaTeX is installed or it fails."""
-    tool = next((t for t in ("latexmk", "pdflatex") if shutil.which(t)), None)
-    if not tool:
+    """The PDF with its references, or None where no LaTeX is installed or it fails."""
+    if shutil.which("latexmk"):
+        done = _ran(["latexmk", "-pdf", "-interaction=nonstopmode", tex.name], tex.parent)
+    elif shutil.which("pdflatex"):
+        once = lambda: _ran(["pdflatex", "-interaction=nonstopmode", tex.name], tex.parent)
+        done = once()
+        if done and shutil.which("bibtex") and _ran(["bibtex", tex.stem], tex.parent):
+            done = once() and once()  # citations first, then what they moved
+    else:
+        done = False
+    return tex.with_suffix(".pdf") if done else None
+
+
+def build_site(page: Path, folder: Path, tool: str = "quarto") -> Path | None:
+    """HTML of a Markdown report by quarto or jupyter-book, or None where the tool is missing or fails."""
+    commands = {
+        "quarto": (["quarto", "render", page.name, "--to", "html", "--output-dir", str(folder.resolve())], folder / f"{page.stem}.html"),
+        "jupyter-book": (["jupyter-book", "build", page.name, "--path-output", str(folder.resolve())], folder / "_build" / "_page" / page.stem / "html" / f"{page.stem}.html"),
+    }
+    if tool not in commands:
+        raise ValueError(f"no tool is named {tool}; there are {', '.join(commands)}")
+    command, made = commands[tool]
+    if not shutil.which(tool):
         return None
-    args = [tool, "-pdf", "-interaction=nonstopmode", tex.name] if tool == "latexmk" else [tool, "-interaction=nonstopmode", tex.name]
-    done = subprocess.run(args, cwd=tex.parent, capture_output=True, check=False)
-    return tex.with_suffix(".pdf") if done.returncode == 0 else None
+    folder.mkdir(parents=True, exist_ok=True)
+    return made if _ran(command, page.parent) and made.exists() else None
 
 
-def generate_report(spark: SparkSession, lang: str = "both", corpus: str | None = None, snapshot: str | None = None, form: str = "both", out: str = "paper", style: str = "article", results_dir: str | None = None, figures_dir: str | None = None) -> dict[str, Path]:
-    """Files by kind and language."""
+def generate_report(spark: SparkSession, lang: str = "both", corpus: str | None = None, snapshot: str | None = None, form: str = "both", out: str = "paper", style: str = "article", results_dir: str | None = None, figures_dir: str | None = None, site_tool: str = "quarto") -> dict[str, Path]:
+    """Files by kind and language. Of both languages, one without results is passed over, as long as the other has some."""
     made: dict[str, Path] = {}
-    for one in ("en", "ro") if lang == "both" else (lang,):
-        c = report_context(spark, one, corpus or CORPUS[one], snapshot or get_config().snapshot, results_dir)
-        for i, f in enumerate(figures(c, figures_dir or Path(out) / "figs")):
-            made[f"figure{i}_{one}"] = f
+    langs = ("en", "ro") if lang == "both" else (lang,)
+    missing: list[Exception] = []
+    for one in langs:
+        try:
+            c = report_context(spark, one, corpus or CORPUS[one], snapshot or get_config().snapshot, results_dir)
+        except (FileNotFoundError, ValueError) as e:
+            missing.append(e)
+            if len(missing) == len(langs):
+                raise
+            continue
+        drawn = figures(c, figures_dir or Path(out) / "figs")
+        made |= {f"figure{i}_{one}": f for i, f in enumerate(drawn)}
         if form in ("pdf", "both"):
-            made[f"tex_{one}"] = save_text(latex_report(c, style), Path(out) / f"report_{one}.tex")
+            pictures = [os.path.relpath(f, out) for f in drawn if f.suffix == ".pdf"]
+            made[f"tex_{one}"] = save_text(latex_report(c, style, pictures), Path(out) / f"report_{one}.tex")
+            made[f"bib_{one}"] = save_text(bibliography(), Path(out) / "references.bib")
             if pdf := compile_pdf(made[f"tex_{one}"]):
                 made[f"pdf_{one}"] = pdf
         if form in ("html", "both"):
             made[f"markdown_{one}"] = save_text(markdown_report(c), Path(out) / f"report_{one}.md")
+            if page := build_site(made[f"markdown_{one}"], Path(out) / "site", site_tool):
+                made[f"html_{one}"] = page
     return made

@@ -1,4 +1,7 @@
 import json
+import os
+import re
+import time
 
 import pytest
 
@@ -8,6 +11,7 @@ from surprisal.config import Config
 from surprisal.jobs import JobRunner, Status
 from surprisal.models import PPM
 from surprisal.operators.counts import char_counts, context_counts
+from surprisal.plans import report
 from surprisal.streaming import counts as streaming
 
 
@@ -24,6 +28,12 @@ def test_jobs(spark, segs, tmp_path):
     with pytest.raises(ValueError):
         runner.submit("nope")
     job = runner.submit("ppm", {"depth": 8})
+    seen = [0.0]
+    while not runner.futures[job].done():
+        seen.append(runner.progress(job))
+        time.sleep(0.1)
+    assert seen == sorted(seen) and 0 < seen[-1] <= 1 and runner.progress(job) == 1
+    job = runner.submit("ppm", {"depth": 8})
     runner.cancel(job)
     assert runner.wait(job).status in (Status.CANCELED, Status.COMPLETED)
 
@@ -52,10 +62,39 @@ def test_cli(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr("surprisal.plans.report.get_config", lambda: cli.CONFIG)
     assert cli.main(["report", "--lang", "en", "--out", str(tmp_path / "paper"), "--format", "html"], spark) == 0
     assert "PPM" in (tmp_path / "paper/report_en.md").read_text()
+    assert cli.main(["report", "--out", str(tmp_path / "all"), "--latex-style", "acm"], spark) == 0  # Romanian has no results
+    tex, bib = (tmp_path / "all/report_en.tex").read_text(), (tmp_path / "all/references.bib").read_text()
+    assert tex.startswith("\\documentclass[sigconf") and "no\\_space" in tex and "{shannon1951," in bib
+    assert all(f"{{{key}," in bib for key in re.findall(r"\\cite\{(\w+)\}", tex))
+    assert cli.main(["report", "--lang", "ro", "--out", str(tmp_path / "none")], spark) == 1
     assert run("estimate", "--model", "unigram", "--test-split", "1.5", "--force") == 1
     assert cli.main(["prep", "--lang", "en", "--corpus", "nope"], spark) == 1
 
 
+def test_report_tools(tmp_path, monkeypatch):
+    """Tools stand in as scripts that log their calls; without them, and where they fail, there is no file."""
+    tex, page = tmp_path / "r.tex", tmp_path / "r.md"
+    tex.write_text(""), page.write_text("")
+    monkeypatch.setenv("PATH", str(tmp_path / "bin"))
+    assert report.compile_pdf(tex) is None and report.build_site(page, tmp_path / "site") is None
+    (tmp_path / "bin").mkdir()
+
+    def tool(name, does=""):
+        (tmp_path / "bin" / name).write_text(f"#!/bin/sh\nPATH={os.defpath}\necho {name} >> {tmp_path}/log\n{does}\n")
+        (tmp_path / "bin" / name).chmod(0o755)
+
+    tool("pdflatex", "touch r.pdf"), tool("bibtex")
+    assert report.compile_pdf(tex) == tmp_path / "r.pdf"
+    assert (tmp_path / "log").read_text().split() == ["pdflatex", "bibtex", "pdflatex", "pdflatex"]
+    tool("quarto", 'touch "$6/r.html"'), tool("jupyter-book", 'mkdir -p "$4/_build/_page/r/html"; touch "$4/_build/_page/r/html/r.html"')
+    assert report.build_site(page, tmp_path / "site") == tmp_path / "site/r.html"
+    assert report.build_site(page, tmp_path / "book", "jupyter-book").exists()
+    tool("quarto", "exit 1")
+    assert report.build_site(page, tmp_path / "site2") is None
+    with pytest.raises(ValueError):
+        report.build_site(page, tmp_path, "nope")
+
+
 def test_streaming(spark, tmp_path):
     texts = ["abra", "cadabra", "é b"]
     for i, t in enumerate(texts):
