@@ -224,6 +224,10 @@ SELECT model, round(bits, 2) AS bits, CAST(greatest(1, (CAST(ceil(bits) AS BIGIN
     out["bootstrap_poisson_ci"] = f"WITH {SPLIT}, {block_scores()}, {poisson('bs', ['doc_id', 'block_id'], 1000)} SELECT * FROM pb"
     sourced = SPLIT.replace("SELECT doc_id, lang, substring", "SELECT doc_id, source, substring")
     out["segment_bootstrap_means"] = f"WITH {sourced}, {block_scores('source,')}, {poisson('bs', ['source', 'doc_id', 'block_id'], 100, 'source')} SELECT * FROM pb"
+    out["source_tagged"] = r"WITH w AS (SELECT array_to_string(list_filter(regexp_split_to_array(text, '[\s\v]+'), lambda x: x <> ''), ' ') AS t FROM documents WHERE text <> '') SELECT CAST(length(t) AS INTEGER) AS n, md5(t) AS md5 FROM w"
+    out["source_wikipedia"] = f"WITH {DOCS} SELECT doc_id, md5('Heading' || chr(10) || coalesce(t, '') || '   shown') AS md5 FROM docs"
+    out["results_scan"] = f"WITH RECURSIVE {SPLIT}, {COMPARED} SELECT model || '_order' || \"order\" || '.json' AS file_name, model, \"order\", round(h, 6) AS bits_per_char, round(redundancy, 6) AS redundancy FROM r"
+    out["saved_ppm_d3"] = out["ppm_cross_entropy_d3"]
     out["redundancy_comparison"] = f"WITH RECURSIVE {SPLIT}, {COMPARED} SELECT model, \"order\", round(h, 6) AS bits_per_char, round({TOP27!r}, 6) AS log2_alphabet_size, round(redundancy, 6) AS redundancy, round({TOP27!r} / h, 6) AS compression_ratio FROM r"
     out["redundancy_gains"] = f"WITH RECURSIVE {SPLIT}, {COMPARED}, g AS (SELECT max(redundancy) FILTER (model = 'huffman') AS h, max(redundancy) FILTER (model LIKE 'ngram%') AS n, max(redundancy) FILTER (model = 'ppm') AS p FROM r) SELECT round(h, 6) AS huffman_redundancy, round(n, 6) AS ngram_redundancy, round(p, 6) AS ppm_redundancy, round(n - h, 6) AS huffman_to_ngram_gain, round(p - h, 6) AS huffman_to_ppm_gain, round(p - n, 6) AS ngram_to_ppm_gain FROM g"
     line = f"model || ',' || CAST(\"order\" AS VARCHAR) || ',' || printf('%.6f', h) || ',' || printf('%.6f', {TOP27!r}) || ',' || printf('%.6f', redundancy) || ',' || printf('%.6f', {TOP27!r} / h)"

@@ -21,9 +21,9 @@ from surprisal.operators.counts import char_counts, context_counts, context_tabl
 from surprisal.operators.segments import train_test
 from surprisal.plans import tables
 from surprisal.session import scratch
-from surprisal.sources.results import card_measures
+from surprisal.sources.results import card_measures, load_results
 from surprisal.sources.sinks import write_texts
-from surprisal.sources.text import any_text, gzip_text, json_lines, plain_text, readable_text, zip_text
+from surprisal.sources.text import any_text, gzip_text, json_lines, plain_text, readable_text, tagged_words, wikipedia, zip_text
 
 PUNCTUATED = ENGLISH.variant(include_punctuation=True)
 RESAMPLES = 1000
@@ -278,6 +278,43 @@ def _stored(form: str, reader: Callable[..., DataFrame]) -> Callable[[SparkSessi
     return query
 
 
+def source_tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the texts gets a tag, and loses it when read."""
+    folder = scratch(spark, "tagged")
+    write_texts(read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pos")).alias("name"), F.regexp_replace("text", r"([^\s]+)", "$1/nn").alias("text")), folder, "plain")
+    return tagged_words(spark, folder).select(F.length("text").alias("n"), F.md5("text").alias("md5"))
+
+
+def source_wikipedia(spark: SparkSession, d: str) -> DataFrame:
+    """A dump of an article for each document, in markup, with a talk page and a redirect beside it."""
+    folder = scratch(spark, "dump")
+    marked = F.concat(F.lit("== Heading ==\n'''"), F.coalesce("text", F.lit("")), F.lit("''' [[File:x.png|thumb]] {{cite|{{a}}}} [[Link|shown]]<ref>note</ref>"))
+    revision = F.struct(F.struct(marked.alias("_VALUE")).alias("text"))
+    page = normalized(spark, d).select(F.col("seg_id").cast("string").alias("title"), revision.alias("revision"))
+    kinds = F.array(*(F.struct(F.lit(ns).alias("ns"), F.lit(to).cast("string").alias("to")) for ns, to in ((0, None), (1, None), (0, "elsewhere"))))
+    pages = page.withColumn("kind", F.explode(kinds)).select("title", "kind.ns", F.when(F.col("kind.to").isNotNull(), F.struct(F.col("kind.to").alias("_title"))).alias("redirect"), "revision")
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(folder)
+    return wikipedia(spark, folder).select(F.col("title").cast("long").alias("doc_id"), F.md5("text").alias("md5"))
+
+
+def results_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison read from files of results, beside which a broken file and a comparison lie."""
+    folder = scratch(spark, "results")
+    name = F.concat("model_choice", F.lit("_order"), F.col("order").cast("string"), F.lit(".json"))
+    others = spark.createDataFrame([("broken.json", "{\"order\": "), ("comparison.json", "{\"order\": 1}")], "name string, text string")
+    write_texts(model_scores(spark, d).select(name.alias("name"), F.to_json(F.struct("*")).alias("text")).union(others), folder, "plain")
+    out = metrics.normalized_results(load_results(spark, folder))
+    return out.select("file_name", "model", "order", *(r6(F.col(c)).alias(c) for c in ("bits_per_char", "redundancy")))
+
+
+def saved_ppm_d3(spark: SparkSession, d: str) -> DataFrame:
+    """A model is saved, and the one loaded scores the test halves."""
+    train, test = halves(spark, d)
+    folder = scratch(spark, "model")
+    PPM(ENGLISH, 3).fit(train).save(folder)
+    return _score("ppm", 3, PPM.load(spark, folder).costs(test))
+
+
 def ppm_per_segment_d3(spark: SparkSession, d: str) -> DataFrame:
     train, test = halves(spark, d)
     return metrics.segment_entropies(test, PPM(ENGLISH, 3).fit(train)).select(F.col("seg_id").alias("doc_id"), "chars", r6(F.col("bpc")).alias("bpc"))
@@ -375,7 +412,7 @@ def event_type_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [alphabet_coverage_raw, to_indices, document_digests, train_test_split, char_frequencies, char_frequencies_by_lang, unigram_entropy_by_lang, unigram_entropy_by_source, unigram_cross_entropy, per_segment_cross_entropy, per_segment_means, huffman_code_lengths, huffman_cross_entropy, ngram_counts_k3, continuation_counts, ppm_context_stats, ppm_top_contexts, ppm_context_edges, ppm_per_segment_d3, ppm_cross_entropy_concat_d3, ppm_self_entropy_d2, ppm_update_exclusion_d2, kn_top_o3, kn_cross_entropy_concat_o2, huffman_metadata, coder_sizes, validate_alphabet, span_segments, chunk_table, indices_round_trip, segment_bootstrap_means, comparison_lines, ppm_codelength_verify, redundancy_comparison, redundancy_gains, best_model_per_family, block_costs, bootstrap_unigram_ci, bootstrap_poisson_ci, sensitivity_unigram, corpus_datacard, entropy_by_label, conversation_entropy_by_role, event_type_entropy]
+    named = [alphabet_coverage_raw, to_indices, document_digests, train_test_split, char_frequencies, char_frequencies_by_lang, unigram_entropy_by_lang, unigram_entropy_by_source, unigram_cross_entropy, per_segment_cross_entropy, per_segment_means, huffman_code_lengths, huffman_cross_entropy, ngram_counts_k3, continuation_counts, ppm_context_stats, ppm_top_contexts, ppm_context_edges, ppm_per_segment_d3, ppm_cross_entropy_concat_d3, ppm_self_entropy_d2, ppm_update_exclusion_d2, kn_top_o3, kn_cross_entropy_concat_o2, huffman_metadata, coder_sizes, validate_alphabet, span_segments, chunk_table, indices_round_trip, segment_bootstrap_means, comparison_lines, source_tagged, source_wikipedia, results_scan, saved_ppm_d3, ppm_codelength_verify, redundancy_comparison, redundancy_gains, best_model_per_family, block_costs, bootstrap_unigram_ci, bootstrap_poisson_ci, sensitivity_unigram, corpus_datacard, entropy_by_label, conversation_entropy_by_role, event_type_entropy]
     stored = {"plain": plain_text, "readable": readable_text, "gzip": gzip_text, "zip": zip_text, "bz2": any_text, "tgz": any_text, "jsonl": json_lines}
     alphabets = {"en27": ENGLISH, "en26": ENGLISH_NO_SPACE, "ro32": ROMANIAN_32, "punct": PUNCTUATED}
     out = {f"normalize_{k}": _normalize(a) for k, a in alphabets.items()} | {f.__name__: f for f in named}
