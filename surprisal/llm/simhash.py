@@ -46,15 +46,19 @@ TRIPLES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
 MASK_PARTS = 8
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of some hashes: a bit is 1 if set in over half of them."""
+    ones = sum(np.unpackbits(hashes[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), PIECE))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text."""
     words = text.encode().translate(LOWER).split()
     if not words:
         return 0
     grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams))
-    ones = sum(np.unpackbits(hashes[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), PIECE))
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -94,7 +98,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _shared(x: np.ndarray) -> np.ndarray:
+def shared_bytes(x: np.ndarray) -> np.ndarray:
     """The tally of shared positional bytes, given the exclusive or of two fingerprints."""
     return (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
 
@@ -110,7 +114,7 @@ def forest(members: np.ndarray) -> list[tuple[int, int]]:
             for x in front.tolist():
                 free = np.flatnonzero(~taken)
                 apart = left[free] ^ np.uint64(x)
-                some = _shared(apart) >= MIN_SHARED
+                some = shared_bytes(apart) >= MIN_SHARED
                 free, apart = free[some], apart[some]
                 near = free[_bits(apart) <= MAX_BITS]
                 links += [(start, y) for y in left[near].tolist()]
@@ -125,7 +129,7 @@ def _pairs(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
     size = np.diff(np.r_[first, len(key)])
     two = first[size == 2]
     apart = fp[two] ^ fp[two + 1]
-    two = two[(_shared(apart) >= MIN_SHARED) & (_bits(apart) <= MAX_BITS)]
+    two = two[(shared_bytes(apart) >= MIN_SHARED) & (_bits(apart) <= MAX_BITS)]
     out = [np.stack([fp[two], fp[two + 1]], axis=1)]
     for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         if links := forest(fp[a : a + n]):

@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import xxhash
 from conftest import DATA, ODD
 from test_simhash import roots
 
@@ -91,3 +92,28 @@ def test_tally_loses_no_pair():
         if resemblance.alike(np.array(shared), np.array(len(a)), len(b)):
             fps = np.frombuffer(resemblance.sketch(a)[0] + resemblance.sketch(b)[0], np.uint8).reshape(2, -1)
             assert (fps[0] == fps[1]).sum() >= resemblance.SHARED_LEAST
+
+
+def brute_simhash(text):
+    """Majority of each bit over the distinct five-word shingles."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in brute_shingles(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_step_of_the_stage(spark, docs, monkeypatch):
+    """Near copies of few differing bits are found by SimHash's index, all of them and without the other one."""
+    r = random.Random(11)
+    texts = list(ODD)
+    for _ in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([20, 80, 300]))]
+        texts += [changed(words, r, times) for times in (0, 1, 1, 2, 3)]
+    sets, fps = [brute_shingles(t) for t in texts], [brute_simhash(t) for t in texts]
+    assert [resemblance.sketch(resemblance.shingles(t or ""))[2] % 2**64 for t in texts] == fps
+    alike = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    near = [(a, b) for a, b in alike if (fps[a] ^ fps[b]).bit_count() <= 5]
+    want = [{i for i, x in roots(range(len(texts)), some).items() if i == x} for some in (near, alike)]
+    assert len(want[1]) + 10 < len(want[0]) < len(texts) - 30
+    assert {x.doc_id for x in resemblance.keep_one(docs(texts)).collect()} == want[1]
+    monkeypatch.setattr(resemblance, "LIST_MOST", 3)
+    monkeypatch.setattr(resemblance, "complete", lambda rows, owned: spark.createDataFrame([], "own bigint, root bigint"))
+    assert {x.doc_id for x in resemblance.keep_one(docs(texts)).collect()} == want[0]
