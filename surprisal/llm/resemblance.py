@@ -25,6 +25,10 @@ and whole sets then. A posting list of over LIST_MOST members, and a group of ov
 dealt into parts of that size at most, and each two parts meet in a task of their own: exact, and bounded
 in memory.
 
+Texts are shuffled only where they have to be: a bitmap of the hashes of the keys looked for, broadcast,
+tells most other rows (`marked`), and only what it marks is joined. In the end rows that surely stay pass
+as they are. Beyond MARK_MOST bits more rows are marked in vain, and joined, but none is lost.
+
 Defined results: texts without words, empty or null, are copies of each other; a text of under five
 words is one shingle; a null doc_id stays only where a component has no other.
 """
@@ -54,6 +58,8 @@ BYTES, SHARED_LEAST = BANDS * ROWS, 44
 LEAST = (4, 5)
 #: Shingles whose minima are taken at once; members and bytes of sets that one part holds.
 PIECE, LIST_MOST, PART_BYTES = 1 << 12, 4096, 8 << 20
+#: Bits of the bitmap for each key, and at most (32 MB).
+MARK_BITS, MARK_MOST = 32, 1 << 28
 FACTORS = np.random.default_rng(SEED).integers(0, 2**64, (BYTES, 1), np.uint64) | np.uint64(1)
 
 
@@ -102,6 +108,20 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("id", "th", "text"), "id bigint, th bigint, set_id bigint, n bigint, fp binary, keys array<bigint>, simhash bigint", step)
 
 
+def marked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """rows with __near_mark: true wherever (id, th) is among chosen's, and for about one in MARK_BITS of the others."""
+    bits = 1 << min(MARK_MOST.bit_length() - 1, (MARK_BITS * chosen.count()).bit_length())
+    place = lambda i, th: F.xxhash64(i, th).bitwiseAND(F.lit(bits - 1))
+    # A bitmap of Spark's has 2**15 bits.
+    at = chosen.select(place("id", "th").alias("at")).select(F.shiftright("at", 15).alias("__near_part"), F.col("at").bitwiseAND(F.lit(2**15 - 1)).alias("at"))
+    maps = materialize(at.repartition("__near_part").groupBy("__near_part").agg(F.bitmap_construct_agg("at").alias("__near_bits")), "marks")
+    own = F.col("__near_at").bitwiseAND(F.lit(2**15 - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("__near_bits", F.shiftright(own, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("__near_at", place("__near_id", "__near_th")).withColumn("__near_part", F.shiftright("__near_at", 15)).join(F.broadcast(maps), "__near_part", "left")
+    mark = F.coalesce(F.expr("shiftright(__near_byte, cast(__near_at & 7 AS int)) & 1") == 1, F.lit(False))
+    return told.withColumn("__near_byte", byte).withColumn("__near_mark", mark).drop("__near_part", "__near_bits", "__near_at", "__near_byte")
+
+
 def one_row(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows whose (id, th) is chosen, with chosen's other columns; one of repeated rows."""
     first = F.row_number().over(Window.partitionBy("__near_id", "__near_th").orderBy("__near_id"))
@@ -235,7 +255,8 @@ def verified(rows: DataFrame, nodes: DataFrame, column: str, tally: Callable[[pa
         made = [shingles(x or "").tobytes() for x in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(made, pa.binary())], [*kept, "members"])
 
-    chosen = one_row(rows.select("__near_id", "__near_th", "text"), grouped.drop("n"))
+    some = marked(rows.select("__near_id", "__near_th", "text"), grouped).where("__near_mark").drop("__near_mark")
+    chosen = one_row(some, grouped.drop("n"))
     sets = map_batches(chosen.select(*kept, "text"), f"root bigint, set_id bigint, own bigint, {column} {nodes.schema[column].dataType.simpleString()}, members binary", members)
     exact = lambda own, c, whole: set_roots(own, tally(c), [np.frombuffer(x, np.uint64) for x in whole.to_pylist()])
     return components(stars(dealt(sets, sizes, "root"), "root", exact, [column, "members"]))
@@ -269,5 +290,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     firsts = materialize(sketched.groupBy("set_id").agg(least).select("set_id", "r.*"), "sets")
     owned = firsts.join(settle(rows, firsts), "set_id", "left").withColumn("own", F.coalesce("own", "set_id"))
     found = owned.select("own", "id", "th").join(complete(rows, owned), "own", "left")
-    stays = found.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min(F.struct("id", "th")).alias("r")).select("r.*")
-    return one_row(rows, stays).select(*docs.columns)
+    stays = materialize(found.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min(F.struct("id", "th")).alias("r")).select("r.*"), "stays")
+    times = rows.groupBy(F.col("__near_id").alias("id"), F.col("__near_th").alias("th")).agg(F.count("*").alias("times"))
+    unsure = times.join(stays.withColumn("stays", F.lit(True)), ["id", "th"], "left").where("stays IS NULL OR times > 1")
+    told = marked(rows, materialize(unsure.select("id", "th"), "unsure"))
+    joined = one_row(told.where("__near_mark").drop("__near_mark"), stays)
+    return told.where("NOT __near_mark").select(*docs.columns).union(joined.select(*docs.columns))

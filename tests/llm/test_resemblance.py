@@ -117,3 +117,42 @@ def test_simhash_step_of_the_stage(spark, docs, monkeypatch):
     monkeypatch.setattr(resemblance, "LIST_MOST", 3)
     monkeypatch.setattr(resemblance, "complete", lambda rows, owned: spark.createDataFrame([], "own bigint, root bigint"))
     assert {x.doc_id for x in resemblance.keep_one(docs(texts)).collect()} == want[0]
+
+
+def shuffled(spark, since=-1):
+    """Bytes that stages after number since wrote to shuffles, and the last stage's number."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(s.shuffleWriteBytes() for s in stages if s.stageId() > since), max((s.stageId() for s in stages), default=-1)
+
+
+def test_texts_are_not_shuffled_whole(spark, docs, tmp_path):
+    """Only texts of near copies, and rows that go or repeat, are shuffled, even if no table is small enough to be broadcast unasked."""
+    r = random.Random(17)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(5000)) for _ in range(100)]
+    texts += [changed(texts[i].split(), r, 20) for i in range(5)] + [texts[7]]
+    docs(texts).write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = shuffled(spark)[1]
+        got = {x.doc_id for x in resemblance.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+        written = shuffled(spark, last)[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == set(range(100))
+    assert 0 < written < sum(map(len, texts)) / 2
+
+
+def test_rows_marked_in_vain(docs, monkeypatch):
+    """The bitmap loses no row, however few bits it has; rows, repeated ones too, are the same ones."""
+    texts = [*spread_group(4, 30), *ODD, *ODD, *(f"other text of its own number {i} here" for i in range(50))]
+    ids = [i % 70 for i in range(len(texts))]
+    table = docs(texts, ids)
+    want = Counter(map(str, resemblance.keep_one(table).select("doc_id", "text").collect()))
+    assert 60 < len(want) < len(texts)
+    for most in (1, 8, 64):
+        monkeypatch.setattr(resemblance, "MARK_MOST", most)
+        assert Counter(map(str, resemblance.keep_one(table).select("doc_id", "text").collect())) == want
