@@ -24,6 +24,7 @@ by text; a null doc_id comes first.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -32,6 +33,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surprisal.llm.bpe import byte_symbols
 from surprisal.llm.common import prepare, range_bounds, with_range, scratch
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: A block's entries, and a shard's ids, before they are deflated; a longer document is a block or shard of its own.
 BLOCK_BYTES, SHARD_BYTES = 1 << 16, 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -204,15 +210,53 @@ def opened(path: str) -> Iterator[Shard]:
         yield Shard(lambda at, size: f.read_at(size, at), f.size())
 
 
-@lru_cache(4)
-def library_encoder(vocab_path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
-    """Whole texts to ids by the tokenizers library, equal texts of a batch once. Also the largest id."""
+#: One word as byte-level vocabularies split texts, and the words a piece may hold beyond its first.
+WORD = r"(?> ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+| ?\p{N}+|\s+(?!\S)|\s+)"
+PIECE_WORDS = 32
+ASCII = "".join(map(chr, range(128)))
+ALNUM = "".join(c for c in ASCII if c.isalnum())
+OTHER = "".join(c for c in ASCII if not c.isalnum())
+
+
+def piece_pattern(spec: dict) -> str | None:
+    """Pieces of several words, which the merges of a byte-level BPE encode as they do the words one by one; None if that is not sure.
+
+    The first merge to cross a bound between two words joins a token's last byte and another's first byte there. A piece goes on
+    over a bound only where no merge joins these two, so that none crosses it; within each word merges come in the same order."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    symbols = byte_symbols()
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and model["type"] == "BPE"
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")) or not model["vocab"].keys() >= set(symbols.values()):
+        return None
+    joints = {(a[-1], b[0]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
+    rules = []
+    for before, after in ((ASCII, " "), (ALNUM, OTHER), (OTHER, ALNUM), (ASCII, "\n")):
+        before = [b for b in before if not any((symbols[ord(b)], symbols[ord(a)]) in joints for a in after)]
+        if before:
+            rules.append("(?<=[{}])(?=[{}])".format(*("".join(f"\\x{ord(c):02x}" for c in cs) for cs in (before, after))))
+    return f"{WORD}(?>(?:(?:{'|'.join(rules)}){WORD}){{0,{PIECE_WORDS}}})" if rules else None
+
+
+def library(vocab_path: str) -> Tokenizer:
+    """The tokenizers library with a vocabulary. Splitting texts into words is most of its work, so it splits them into pieces where that gives the same ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
     tokenizer = Tokenizer.from_file(vocab_path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    with open(vocab_path, encoding="utf-8") as f:
+        pattern = piece_pattern(json.load(f))
+    if pattern:
+        tokenizer.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
+@lru_cache(4)
+def library_encoder(vocab_path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
+    """Whole texts to ids by the tokenizers library, equal texts of a batch once. Also the largest id."""
+    tokenizer = library(vocab_path)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         distinct = list(dict.fromkeys(texts))

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -89,3 +90,40 @@ def test_encode_then_decode(spark, docs):
     assert back == {i: t or "" for i, t in enumerate(ODD)}
     assert bpe.encode(docs([]), PATH).collect() == []
     assert bpe.round_trip(docs([]), PATH).collect() == []
+
+
+def test_library_takes_several_words_at_once():
+    text = "The men, who came at 10 o'clock, didn't say \"why\".\nThey sat down and ate; the rest is known to all of us here.\n" * 5
+    words, pieces = ([w for w, _ in t.pre_tokenizer.pre_tokenize_str(text)] for t in (LIBRARY, sstable.library(PATH)))
+    assert "".join(words) == "".join(pieces) and len(pieces) < len(words) / 8
+    assert set(np.cumsum([*map(len, pieces)])) <= set(np.cumsum([*map(len, words)]))
+
+
+@pytest.mark.parametrize("around", ["", "x'", "'", " ", "\n", "7", ".", "é"])
+def test_pieces_where_tokens_join(around):
+    with open(PATH, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    back = {s: b for b, s in bpe.byte_symbols().items()}
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges[::5]]
+    texts = [around + bytes(back[c] for c in s).decode(errors="ignore") + around for s in joined]
+    assert [x.tolist() for x in sstable.library_encoder(PATH)[0](texts)] == [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_pieces_only_where_ids_are_the_same():
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert sstable.piece_pattern(spec)
+    assert sstable.piece_pattern(spec | {"pre_tokenizer": None}) is None
+    assert sstable.piece_pattern(spec | {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}) is None
+    assert sstable.piece_pattern(spec | {"model": spec["model"] | {"ignore_merges": True}}) is None
+    assert sstable.piece_pattern(spec | {"model": spec["model"] | {"merges": [[a, b] for a in bpe.byte_symbols().values() for b in bpe.byte_symbols().values()]}}) is None
+
+
+def test_pieces_with_merges_across_words(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] |= {"vocab": spec["model"]["vocab"] | {"sĠ": 50257, "a,": 50258}, "merges": [["s", "Ġ"], ["a", ","], *spec["model"]["merges"]]}
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(spec))
+    texts = ["his a, b is  as", "a, s  x s a,a s", "yes it is a, so"]
+    assert [x.tolist() for x in sstable.library_encoder(str(path))[0](texts)] == [Tokenizer.from_file(str(path)).encode(t).ids for t in texts]
