@@ -29,6 +29,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -260,7 +261,7 @@ def library_encoder(vocab_path: str) -> tuple[Callable[[list[str]], list[np.ndar
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         distinct = list(dict.fromkeys(texts))
-        ids = dict(zip(distinct, (np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
+        ids = dict(zip(distinct, (np.array(array("I", e.ids)) for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
         return [ids[t] for t in texts]
 
     return encode, tokenizer.get_vocab_size(with_added_tokens=True) - 1
