@@ -38,3 +38,28 @@ def test_queries_draw_as_often_as_the_configuration():
     from surprisal.plans import queries
 
     assert queries.RESAMPLES == Config().resamples == 1000
+
+
+def test_poisson_draws_are_those_of_the_digests(spark):
+    from hashlib import md5
+
+    rows = [(k, i, float(10 + i), 3.5 * i + k) for k in (1, 2) for i in range(30)]
+    costs = spark.createDataFrame(rows, "source int, block_id int, events double, bits double").repartition(3)
+    bounds = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
+    for by in ([], ["source"]):
+        got = {tuple(r[k] for k in by): r.mean_bpc for r in validation.poisson_bootstrap(costs, 10, by=by).collect()}
+        for key in {(r[0],) if by else () for r in rows}:
+            h = []
+            for r in range(10):
+                sums = np.zeros(2)
+                for k, i, events, bits in rows:
+                    if not by or (k,) == key:
+                        u = int(md5(f"{k}:{i}:{r // 4}:42".encode()).hexdigest()[r % 4 * 8 : r % 4 * 8 + 8], 16) / 2**32
+                        sums += np.array([bits, events]) * (u >= bounds).sum()
+                h.append(sums[0] / sums[1])
+            assert got[key] == pytest.approx(np.mean(h), rel=1e-12)
+
+
+def test_poisson_rows_are_not_made_for_each_draw(spark, segs):
+    costs = validation.block_costs(segs("ab " * 5000), Unigram(ENGLISH).fit(segs("ab ")), 50)
+    assert "Generate explode(sequence" not in validation.poisson_bootstrap(costs, 1000)._jdf.queryExecution().optimizedPlan().toString()
