@@ -26,3 +26,25 @@ def test_checksums_of_whole_texts(spark, tmp_path):
     found = queries.to_indices(spark, str(tmp_path))
     assert {r.doc_id: (r.n, r.checksum) for r in found.collect()} == want
     assert found.dtypes == [("doc_id", "bigint"), ("n", "bigint"), ("checksum", "bigint")]
+
+
+def test_texts_are_gone_over_once_for_their_places_in_a_row(spark):
+    from surprisal.operators import segments
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return "" if i % 7 == 3 else "abc" * i
+
+    rows = spark.range(20).select(F.col("id").alias("seg_id"), text.asNondeterministic()("id").alias("text"))
+    texts = {i: "" if i % 7 == 3 else "abc" * i for i in range(20)}
+    start, left, n, held = {}, {}, 0, ""
+    for i, t in texts.items():
+        if t:
+            start[i], left[i] = n, held[-5:]
+        n, held = n + len(t), held + t
+    found = segments.offsets(rows)
+    assert {r.seg_id: r.start for r in found.collect()} == start and made.value == 20
+    assert {r.seg_id: r.left for r in segments.carried(rows, 5).collect()} == left and made.value == 60
