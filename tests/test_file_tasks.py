@@ -33,3 +33,20 @@ def test_tags_of_odd_words(spark, tmp_path):
 def test_bz2_blocks_are_as_large_as_the_text():
     raw = b"abc " * 100_000
     assert sinks._bz2(raw[:1000])[:4] == b"BZh1" and bz2.decompress(sinks._bz2(raw)) == raw and bz2.decompress(sinks._bz2(b"")) == b""
+
+
+def test_a_dump_is_read_by_several_tasks(spark, tmp_path):
+    page = "<page attr=\"1\">\n<title>T{i}</title><ns>0</ns>\n<id>{i}</id><revision><text xml:space=\"preserve\">'''body''' &lt;b&gt;{i}&lt;/b&gt; é\n{x}</text></revision></page>"
+    skipped = "<page><title>no</title><ns>1</ns><revision><text>talk</text></revision></page><page><title>no</title><ns>0</ns><redirect title=\"T\"/><revision><text>r</text></revision></page>"
+    dump = "<mediawiki><siteinfo><sitename>x</sitename></siteinfo>\n" + "\n".join(page.format(i=i, x="word " * 1000) + skipped for i in range(100)) + "\n</mediawiki>\n"
+    (tmp_path / "dump.xml").write_text(dump)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65536")
+    try:
+        found = text.wikipedia(spark, f"file://{tmp_path}/dump.xml")
+        assert found._jdf.rdd().getNumPartitions() > 3
+        got = {r.title: r.text for r in found.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {f"T{i}": f"body {i} é\n" + ("word " * 1000).strip() for i in range(100)}
